@@ -114,14 +114,15 @@ def leximin_first(df: DataFrame, group: str, item: str, scores: Sequence[str], r
 def leximin_ranking(df: DataFrame, group: str, item: str, scores: Sequence[str], recency: Sequence[str] = ()) -> DataFrame:
     """(group, item, position, v0, v1, ...): every item's place in its group's order.
 
-    Positions are exact and have no gaps. Like the percentiles they are found inside cells, here of
-    the two weakest percentiles, plus the number of items in the cells before.
+    Positions are exact and have no gaps. Like the percentiles they are found inside cells, plus
+    the number of items in the cells before. The cell is that of the weakest percentile that isn't
+    zero, so that many items which all lack a score don't end up in one cell.
     """
     n = len(scores)
-    vectors = leximin_vectors(df, group, item, scores, recency).withColumn(
-        "c",
-        -(F.floor(F.col("v")[0] * 512) * 64 + (F.floor(F.col("v")[1] * 32) if n > 1 else F.lit(0))),
-    )
+    cell = F.floor(F.col("v")[n - 1] * 4096)
+    for k in range(n - 2, -1, -1):
+        cell = F.when(F.col("v")[k] > 0, (n - 1 - k) * 5000 + F.floor(F.col("v")[k] * 4096)).otherwise(cell)
+    vectors = leximin_vectors(df, group, item, scores, recency).withColumn("c", -cell)
     before = Window.partitionBy("g").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     cells = vectors.groupBy("g", "c").agg(F.count("*").alias("held"))
     cells = cells.select("g", "c", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
