@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagery.llm import leximin
+from passagery.llm import leximin, mojibake
 from passagery.runtime import table
 
 SCORES = ["dense_score", "sparse_score", "late_interaction_score"]
@@ -24,5 +24,18 @@ def p1_ranking(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, root, "documents_in")).select("document_id").distinct()
+
+
+def p6_restored(spark: SparkSession, root: str) -> DataFrame:
+    return mojibake.garbled_documents(table(spark, root, "documents_in"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_ranking": p1_ranking}
+    return {
+        "p1_found": p1_found,
+        "p1_ranking": p1_ranking,
+        "p6_found": p6_found,
+        "p6_restored": p6_restored,
+    }
