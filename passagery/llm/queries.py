@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagery.llm import leximin, mojibake
+from passagery.llm import leakage, leximin, mojibake
 from passagery.runtime import table
 
 SCORES = ["dense_score", "sparse_score", "late_interaction_score"]
@@ -32,10 +32,20 @@ def p6_restored(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, root, "documents_in"))
 
 
+def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, root, "documents"), table(spark, root, "heldout_passages"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return p7_leaks(spark, root).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_ranking": p1_ranking,
         "p6_found": p6_found,
         "p6_restored": p6_restored,
+        "p7_found": p7_found,
+        "p7_leaks": p7_leaks,
     }
