@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from passagery.llm import leakage, leximin, mojibake
+from passagery.llm import leakage, leximin, mojibake, overlap
 from passagery.runtime import table
 
 SCORES = ["dense_score", "sparse_score", "late_interaction_score"]
@@ -24,6 +25,17 @@ def p1_ranking(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    pairs = overlap.overlaps(table(spark, root, "benchmark_cases"))
+    return pairs.select(
+        F.least("train_case", "eval_case").alias("case_no_a"), F.greatest("train_case", "eval_case").alias("case_no_b")
+    ).distinct()
+
+
+def p4_report(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, root, "benchmark_cases"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, root, "documents_in")).select("document_id").distinct()
 
@@ -44,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_ranking": p1_ranking,
+        "p4_found": p4_found,
+        "p4_report": p4_report,
         "p6_found": p6_found,
         "p6_restored": p6_restored,
         "p7_found": p7_found,
