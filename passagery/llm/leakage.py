@@ -52,7 +52,7 @@ def plain_words(text: str) -> list[str]:
     if "\\" in text:
         text = _MACRO.sub(r"\1", _CITE.sub(" ", text))
     text = _BREAK.sub("", text).lower()
-    return [w for w in (_SIGNS.sub("", x) for x in text.split()) if w]
+    return [w for w in (x if x.isalnum() else _SIGNS.sub("", x) for x in text.split()) if w]
 
 
 def sentences(text: str) -> list[str]:
@@ -106,32 +106,55 @@ class BlockMaxIndex:
         self.first = np.searchsorted(term, np.arange(len(df) + 1))
         self.post_block = np.array([x[1] for x in post], np.int64)
         self.post_max = np.array([x[2] for x in post], np.float64)
+        self.term_max = np.zeros(len(df))
+        np.maximum.at(self.term_max, term, self.post_max)
         self.threshold = np.full(self.blocks * BLOCK, np.inf)
         self.block_threshold = np.full(self.blocks, np.inf)
+        self.least = math.inf
 
     def set_thresholds(self, values: list[float]) -> None:
         self.threshold[: len(values)] = np.array(values) * 0.999
         self.block_threshold = self.threshold.reshape(self.blocks, BLOCK).min(axis=1)
+        self.least = float(self.threshold.min(initial=math.inf))
 
-    def search(self, bags: list[list[int]]) -> list[tuple[int, int]]:
-        """(bag, item) for all that reach the item's threshold; blocks whose bound stays below theirs are skipped."""
-        sizes = np.array([len(x) for x in bags], np.int64)
-        ids = np.fromiter((t for x in bags for t in x), np.int64, int(sizes.sum()))
-        if not len(ids) or not self.blocks:
-            return []
-        owner = np.repeat(np.arange(len(bags)), sizes)
-        ends = np.cumsum(sizes)
-        lo, n = self.first[ids], self.first[ids + 1] - self.first[ids]
-        at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        cell = np.repeat(owner, n) * self.blocks + self.post_block[at]
-        bounds = np.bincount(cell, self.post_max[at], len(bags) * self.blocks).reshape(len(bags), self.blocks)
-        out = []
+    def search(self, doc: np.ndarray, place: np.ndarray, term: np.ndarray, width: int, stride: int) -> set[tuple[int, int]]:
+        """(document, item) where some passage of the document reaches the item's threshold.
+
+        doc, place and term say which known term stands where. A passage holds width places and
+        starts at a multiple of stride; one that begins behind the end of the text is a part of the
+        one before, so it can add nothing. Passages whose greatest possible score stays below all
+        thresholds are dropped first, then blocks of items whose bound stays below theirs.
+        """
+        if not len(doc) or not self.blocks:
+            return set()
+        many = int(place.max()) // stride + 1
+        cells = []
+        for back in range(-(-width // stride)):
+            start = place // stride - back
+            ok = (start >= 0) & (start * stride + width > place)
+            cells.append(((doc[ok] * many + start[ok]) * len(self.term_max)) + term[ok])
+        cell = np.unique(np.concatenate(cells))
+        key, term = cell // len(self.term_max), cell % len(self.term_max)
+        passages, owner = np.unique(key, return_inverse=True)
+        good = np.bincount(owner, self.term_max[term]) >= self.least
+        kept = good[owner]
+        term, owner = term[kept], (np.cumsum(good) - 1)[owner[kept]]
+        passages = passages[good]
+        if not len(passages):
+            return set()
+        n = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        spot = np.repeat(owner, n) * self.blocks + self.post_block[at]
+        bounds = np.bincount(spot, self.post_max[at], len(passages) * self.blocks).reshape(len(passages), self.blocks)
+        ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(passages))))
+        out = set()
         for p, b in zip(*np.nonzero(bounds >= self.block_threshold)):
-            own, terms = ids[ends[p] - sizes[p] : ends[p]], self.local_terms[b]
+            own, terms = term[ends[p] : ends[p + 1]], self.local_terms[b]
             k = np.searchsorted(terms, own)
             k[(k == len(terms)) | (terms[np.minimum(k, len(terms) - 1)] != own)] = len(terms)
             score = self.local_impacts[b][k].sum(axis=0)
-            out += [(int(p), int(b * BLOCK + i)) for i in np.nonzero(score >= self.threshold[b * BLOCK : (b + 1) * BLOCK])[0]]
+            for i in np.nonzero(score >= self.threshold[b * BLOCK : (b + 1) * BLOCK])[0]:
+                out.add((int(passages[p]) // many, int(b * BLOCK + i)))
         return out
 
 
@@ -177,6 +200,10 @@ class LeakIndex:
         self.parts = [{" ".join(s[j : j + half]) for s in x for j in range(len(s) - half + 1)} for x in segments]
         self.pairs = BlockMaxIndex([[p for s in x for p in _pairs(s)] for x in segments])
         self.singles = BlockMaxIndex(self.words)
+        own = self.singles.vocabulary
+        keys = {own[a] * len(own) + own[b]: t for p, t in self.pairs.vocabulary.items() for a, b in [p.split(" ")]}
+        self.pair_keys = np.array(sorted(keys), np.int64)
+        self.pair_terms = np.array([keys[k] for k in sorted(keys)], np.int64)
         self.passage = 2 * max(min_run, STRIDE)
         longest = max(map(len, self.words), default=1)
         self.wide_stride = 64
@@ -200,31 +227,25 @@ class LeakIndex:
         self.pairs.set_thresholds(least_run)
         self.singles.set_thresholds(least_whole)
 
-    @staticmethod
-    def _bags(index: BlockMaxIndex, terms: list[list[str]], width: int, stride: int) -> tuple[list[list[int]], list[int]]:
-        get, bags, owner = index.vocabulary.get, [], []
-        for d, own in enumerate(terms):
-            known = [get(t) for t in own]
-            for s in range(0, max(1, len(known) - width + stride), stride):
-                bag = {t for t in known[s : s + width] if t is not None}
-                if bag:
-                    bags.append(list(bag))
-                    owner.append(d)
-        return bags, owner
-
     def candidates(self, docs: list[list[str]]) -> tuple[list[set[int]], list[set[int]]]:
         """For each document: items of which it may hold a run, and items it may hold whole."""
-        both = []
-        for index, terms, width, stride in (
-            (self.pairs, [_pairs(w) for w in docs], self.passage - 1, STRIDE),
-            (self.singles, docs, self.wide, self.wide_stride),
-        ):
-            bags, owner = self._bags(index, terms, width, stride)
-            found: list[set[int]] = [set() for _ in docs]
-            for p, i in index.search(bags):
-                found[owner[p]].add(i)
-            both.append(found)
-        return both[0], both[1]
+        get = self.singles.vocabulary.get
+        known = np.array([get(w, -1) for words in docs for w in words], np.int64)
+        sizes = np.array([len(w) for w in docs], np.int64)
+        doc = np.repeat(np.arange(len(docs)), sizes)
+        place = np.arange(len(known)) - np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)
+        runs: list[set[int]] = [set() for _ in docs]
+        wholes: list[set[int]] = [set() for _ in docs]
+        if len(known) > 1 and len(self.pair_keys):
+            key = known[:-1] * len(self.singles.vocabulary) + known[1:]
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            ok = (self.pair_keys[at] == key) & (known[:-1] >= 0) & (known[1:] >= 0) & (doc[:-1] == doc[1:])
+            for d, i in self.pairs.search(doc[:-1][ok], place[:-1][ok], self.pair_terms[at[ok]], self.passage - 1, STRIDE):
+                runs[d].add(i)
+        ok = known >= 0
+        for d, i in self.singles.search(doc[ok], place[ok], known[ok], self.wide, self.wide_stride):
+            wholes[d].add(i)
+        return runs, wholes
 
     def has_run(self, words: list[str], item: int) -> bool:
         """Does a run of min_run words of the item occur? Each covers a part that starts at a multiple of half."""

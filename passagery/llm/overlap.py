@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagery.runtime import cut_lineage
+
 #: Words that carry no sense of their own in a question.
 STOP = frozenset(
     "a an the of in is are was be been does do did will would can could to for on at it its by and or with from as that this "
@@ -306,15 +308,16 @@ def overlaps(cases: DataFrame, min_share: float = 0.7, shard_rows: int = 20_000,
     count once; rows with null or empty question, case_no or split are left out; an empty side gives
     no rows.
     """
-    rows = classes(cases)
+    rows = cut_lineage(classes(cases))
     pairs = class_pairs(rows, min_share, shard_rows, block_rows)
-    train = rows.where("split = 'train'").select(F.col("case_no").alias("train_case"), "hard", F.col("soft").alias("train_soft"))
-    held = rows.where("split <> 'train'").select(
-        F.col("case_no").alias("eval_case"), F.col("split").alias("split_name"), "origin", "hard", F.col("soft").alias("eval_soft")
-    )
-    return pairs.join(held, ["hard", "eval_soft"]).join(train, ["hard", "train_soft"]).select(
-        "train_case", "eval_case", "split_name", "origin", "found_share"
-    )
+    train = rows.where("split = 'train'").toDF("train_case", "s", "o", "hard", "train_soft")
+    held = rows.where("split <> 'train'").toDF("eval_case", "split_name", "origin", "hard", "eval_soft")
+    with_eval = pairs.alias("p").join(
+        held.alias("h"), (F.col("p.hard") == F.col("h.hard")) & (F.col("p.eval_soft") == F.col("h.eval_soft"))
+    ).select(F.col("p.hard").alias("names"), F.col("p.train_soft").alias("wording"), "eval_case", "split_name", "origin", "found_share")
+    return with_eval.join(
+        train, (F.col("names") == F.col("hard")) & (F.col("wording") == F.col("train_soft"))
+    ).select("train_case", "eval_case", "split_name", "origin", "found_share")
 
 
 def overlap_report(cases: DataFrame) -> DataFrame:

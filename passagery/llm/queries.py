@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagery.llm import leakage, leximin, mojibake, overlap
+from passagery.llm import groupsplit, leakage, leximin, mixture, mojibake, overlap
 from passagery.runtime import table
 
 SCORES = ["dense_score", "sparse_score", "late_interaction_score"]
@@ -36,6 +36,18 @@ def p4_report(spark: SparkSession, root: str) -> DataFrame:
     return overlap.overlap_report(table(spark, root, "benchmark_cases"))
 
 
+def _split_tables(spark: SparkSession, root: str) -> list[DataFrame]:
+    return [table(spark, root, t) for t in ("benchmark_cases", "case_labels", "spans")]
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return groupsplit.divided_cases(*_split_tables(spark, root))
+
+
+def p5_splits(spark: SparkSession, root: str) -> DataFrame:
+    return groupsplit.new_splits(*_split_tables(spark, root))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, root, "documents_in")).select("document_id").distinct()
 
@@ -52,14 +64,35 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return p7_leaks(spark, root).select("doc_id", "item_id").distinct()
 
 
+def _mixer(spark: SparkSession, root: str) -> mixture.Mixer:
+    return mixture.Mixer(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return _mixer(spark, root).report().where("short").select("source").distinct()
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    return _mixer(spark, root).report()
+
+
+def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
+    return _mixer(spark, root).mixture()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_ranking": p1_ranking,
         "p4_found": p4_found,
         "p4_report": p4_report,
+        "p5_found": p5_found,
+        "p5_splits": p5_splits,
         "p6_found": p6_found,
         "p6_restored": p6_restored,
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
+        "p8_found": p8_found,
+        "p8_report": p8_report,
+        "p8_mixture": p8_mixture,
     }
