@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 BLOCK = 16
 STRIDE = 20
+#: Up to so many cells the places of terms in blocks are kept as a table.
+TABLE = 4_000_000
 
 _BREAK = re.compile(r"(?<=\w)[-\u2010\u2011]\s*\n\s*(?=\w)|[\u00ad\u200b-\u200d\u2060\ufeff]")
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -80,7 +82,6 @@ class BlockMaxIndex:
         df = Counter(t for terms in items for t in set(terms))
         mean = sum(map(len, items)) / max(n, 1)
         self.vocabulary = {t: i for i, t in enumerate(sorted(df))}
-        self.blocks = -(-n // BLOCK)
         self.impacts: list[dict[str, float]] = []
         for terms in items:
             norm = K1 * (1 - B + B * len(terms) / max(mean, 1e-9))
@@ -88,10 +89,15 @@ class BlockMaxIndex:
                 t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + norm)
                 for t, tf in Counter(terms).items()
             })
+
+    def build(self, thresholds: list[float]) -> None:
+        """Lay out the blocks: items with like thresholds together, so that the least one of a block is telling."""
+        self.order = sorted(range(len(thresholds)), key=lambda i: thresholds[i])
+        self.blocks = -(-len(thresholds) // BLOCK)
         self.local_terms, self.local_impacts = [], []
         post: list[tuple[int, int, float]] = []
         for b in range(self.blocks):
-            own = self.impacts[b * BLOCK : (b + 1) * BLOCK]
+            own = [self.impacts[i] for i in self.order[b * BLOCK : (b + 1) * BLOCK]]
             terms = sorted({self.vocabulary[t] for x in own for t in x})
             place = {t: k for k, t in enumerate(terms)}
             dense = np.zeros((len(terms) + 1, BLOCK), np.float32)
@@ -101,19 +107,21 @@ class BlockMaxIndex:
             self.local_terms.append(np.array(terms, np.int64))
             self.local_impacts.append(dense)
             post += zip(terms, [b] * len(terms), dense[:-1].max(axis=1).tolist())
+        self.table = None
+        if self.blocks * len(self.vocabulary) <= TABLE:
+            self.table = np.zeros((self.blocks, len(self.vocabulary)), np.int32)
+            for b, terms in enumerate(self.local_terms):
+                self.table[b] = len(terms)
+                self.table[b, terms] = np.arange(len(terms))
         post.sort()
         term = np.array([x[0] for x in post], np.int64)
-        self.first = np.searchsorted(term, np.arange(len(df) + 1))
+        self.first = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
         self.post_block = np.array([x[1] for x in post], np.int64)
         self.post_max = np.array([x[2] for x in post], np.float64)
-        self.term_max = np.zeros(len(df))
+        self.term_max = np.zeros(len(self.vocabulary))
         np.maximum.at(self.term_max, term, self.post_max)
         self.threshold = np.full(self.blocks * BLOCK, np.inf)
-        self.block_threshold = np.full(self.blocks, np.inf)
-        self.least = math.inf
-
-    def set_thresholds(self, values: list[float]) -> None:
-        self.threshold[: len(values)] = np.array(values) * 0.999
+        self.threshold[: len(thresholds)] = np.array([thresholds[i] for i in self.order]) * 0.999
         self.block_threshold = self.threshold.reshape(self.blocks, BLOCK).min(axis=1)
         self.least = float(self.threshold.min(initial=math.inf))
 
@@ -146,17 +154,31 @@ class BlockMaxIndex:
         at = np.repeat(self.first[term] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         spot = np.repeat(owner, n) * self.blocks + self.post_block[at]
         bounds = np.bincount(spot, self.post_max[at], len(passages) * self.blocks).reshape(len(passages), self.blocks)
-        ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(passages))))
         out = set()
-        for p, b in zip(*np.nonzero(bounds >= self.block_threshold)):
-            own, terms = term[ends[p] : ends[p + 1]], self.local_terms[b]
-            k = np.searchsorted(terms, own)
-            k[(k == len(terms)) | (terms[np.minimum(k, len(terms) - 1)] != own)] = len(terms)
-            score = self.local_impacts[b][k].sum(axis=0)
-            for i in np.nonzero(score >= self.threshold[b * BLOCK : (b + 1) * BLOCK])[0]:
-                out.add((int(passages[p]) // many, int(b * BLOCK + i)))
+        reached = bounds >= self.block_threshold
+        for b in np.nonzero(reached.any(axis=0))[0]:  # one product for all passages that need the block
+            rows = np.nonzero(reached[:, b])[0]
+            row = np.full(len(passages), -1)
+            row[rows] = np.arange(len(rows))
+            mine = row[owner] >= 0
+            local = self._local(b, term[mine])
+            bag = np.zeros((len(rows), len(self.local_terms[b]) + 1), np.float32)
+            bag[row[owner[mine]], local] = 1
+            bag[:, -1] = 0
+            scores = bag @ self.local_impacts[b]
+            for r, i in zip(*np.nonzero(scores >= self.threshold[b * BLOCK : (b + 1) * BLOCK])):
+                out.add((int(passages[rows[r]]) // many, self.order[b * BLOCK + i]))
         return out
 
+    def _local(self, b: int, term: np.ndarray) -> np.ndarray:
+        """Place of each term in block b; one behind the last for terms that it lacks."""
+        if self.table is not None:
+            return self.table[b][term]
+        terms = self.local_terms[b]
+        k = np.searchsorted(terms, term)
+        k[(k == len(terms)) | (terms[np.minimum(k, len(terms) - 1)] != term)] = len(terms)
+        return k
+
 
 def _pairs(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
@@ -224,8 +246,8 @@ class LeakIndex:
                     spare = 0
                     least += v[w]
             least_whole.append(least)
-        self.pairs.set_thresholds(least_run)
-        self.singles.set_thresholds(least_whole)
+        self.pairs.build(least_run)
+        self.singles.build(least_whole)
 
     def candidates(self, docs: list[list[str]]) -> tuple[list[set[int]], list[set[int]]]:
         """For each document: items of which it may hold a run, and items it may hold whole."""
@@ -302,8 +324,8 @@ def leaked_items(
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
                 docs = [plain_words(t) for t in part["text"]]
                 out = []
                 for key, words, runs, wholes in zip(part["doc_id"], docs, *ix.candidates(docs)):
