@@ -269,22 +269,26 @@ def class_pairs(rows: DataFrame, min_share: float, shard_rows: int, block_rows:
     evals = rows.where("split <> 'train'").select("hard", "soft").distinct()
     trains = rows.where("split = 'train'").select("hard", "soft").distinct()
     shards = max(1, -(-evals.count() // shard_rows))
-    at = F.pmod(F.xxhash64("hard"), F.lit(shards)).cast("int").alias("shard")
-    evals, trains = evals.select("*", at), trains.select("*", at)
+    evals = evals.toDF("eh", "es").withColumn("shard", F.pmod(F.xxhash64("eh"), F.lit(shards)).cast("int"))
+    trains = trains.toDF("th", "ts").withColumn("shard", F.pmod(F.xxhash64("th"), F.lit(shards)).cast("int"))
     parts = evals.groupBy("shard").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
     blocks = trains.groupBy("shard").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     plan = parts.join(blocks, "shard")  # one row a shard
-    pick = lambda n: F.pmod(F.xxhash64("soft", "hard"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = evals.join(plan, "shard").select("shard", pick("parts").alias("part"), every("blocks").alias("block"), "hard", "soft")
-    right = trains.join(plan, "shard").select("shard", every("parts").alias("part"), pick("blocks").alias("block"), "hard", "soft")
+    left = evals.join(plan, "shard").select(
+        F.col("shard").alias("s1"), F.pmod(F.xxhash64("es", "eh"), F.col("parts")).cast("int").alias("p1"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b1"), "eh", "es",
+    )
+    right = trains.join(plan, "shard").select(
+        F.col("shard").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p2"),
+        F.pmod(F.xxhash64("ts", "th"), F.col("blocks")).cast("int").alias("b2"), "th", "ts",
+    )
 
     def search(held: pd.DataFrame, stream: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held) and len(stream):
-            hards, softs = held["hard"].tolist(), held["soft"].tolist()
+            hards, softs = held["eh"].tolist(), held["es"].tolist()
             index = FullTextIndex([sequence(h, s) for h, s in zip(hards, softs)])
-            for h, s in zip(stream["hard"], stream["soft"]):
+            for h, s in zip(stream["th"], stream["ts"]):
                 lo, hi = index.find([_FIRST, *h.split(), _SEP])
                 if lo >= hi:
                     continue
@@ -297,8 +301,7 @@ def class_pairs(rows: DataFrame, min_share: float, shard_rows: int, block_rows:
                         out.append((h, s, softs[k], share, longest, hi - lo))
         return pd.DataFrame(out, columns=["hard", "train_soft", "eval_soft", "found_share", "longest_run", "occurrences"])
 
-    keys = ["shard", "part", "block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, PAIR_SCHEMA)
+    return left.groupBy("s1", "p1", "b1").cogroup(right.groupBy("s2", "p2", "b2")).applyInPandas(search, PAIR_SCHEMA)
 
 
 def overlaps(cases: DataFrame, min_share: float = 0.7, shard_rows: int = 20_000, block_rows: int = 50_000) -> DataFrame:
