@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagery.llm import groupsplit, leakage, leximin, mixture, mojibake, overlap
+from passagery.llm import groupsplit, leakage, leximin, mixture, mojibake, overlap, pieces, reading
 from passagery.runtime import table
 
 SCORES = ["dense_score", "sparse_score", "late_interaction_score"]
@@ -25,6 +25,14 @@ def p1_ranking(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return pieces.oversized(table(spark, root, "documents_in"), table(spark, root, "phase5_configs"))
+
+
+def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
+    return pieces.split_documents(table(spark, root, "documents_in"), table(spark, root, "phase5_configs")).distinct()
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     pairs = overlap.overlaps(table(spark, root, "benchmark_cases"))
     return pairs.select(
@@ -80,10 +88,25 @@ def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
     return _mixer(spark, root).mixture()
 
 
+def p9_levels(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return reading.reading_levels(docs, reading.train(docs, table(spark, root, "reading_labels")))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_levels(spark, root).where("lang = 'en' AND reading_level = 5").select("doc_id").distinct()
+
+
+def p9_profile(spark: SparkSession, root: str) -> DataFrame:
+    return p9_levels(spark, root).groupBy("lang", "reading_level").agg(F.count("*").alias("documents"), F.sum("words").alias("words"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_ranking": p1_ranking,
+        "p2_found": p2_found,
+        "p2_pieces": p2_pieces,
         "p4_found": p4_found,
         "p4_report": p4_report,
         "p5_found": p5_found,
@@ -95,4 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_found": p8_found,
         "p8_report": p8_report,
         "p8_mixture": p8_mixture,
+        "p9_found": p9_found,
+        "p9_levels": p9_levels,
+        "p9_profile": p9_profile,
     }

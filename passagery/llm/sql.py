@@ -36,6 +36,9 @@ ranked AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": """SELECT DISTINCT d.id AS document_id FROM documents_in d
+            JOIN phase5_configs c ON c.config_name = coalesce(d.config_name, 'phase3-base')
+            WHERE length(regexp_replace(d.content, '^\\s+|\\s+$', '', 'g')) > c.chunk_size""",
         "p1_found": _LEXIMIN + "SELECT query_id, chunk_key FROM ranked WHERE position = 1",
         "p1_ranking": _LEXIMIN + "SELECT query_id, chunk_key, position, v0, v1, v2 FROM ranked",
     }
