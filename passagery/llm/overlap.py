@@ -304,7 +304,7 @@ def class_pairs(rows: DataFrame, min_share: float, shard_rows: int, block_rows:
     return left.groupBy("s1", "p1", "b1").cogroup(right.groupBy("s2", "p2", "b2")).applyInPandas(search, PAIR_SCHEMA)
 
 
-def overlaps(cases: DataFrame, min_share: float = 0.7, shard_rows: int = 20_000, block_rows: int = 50_000) -> DataFrame:
+def overlaps(cases: DataFrame, min_share: float = 0.7, shard_rows: int = 5_000, block_rows: int = 20_000) -> DataFrame:
     """(train_case, eval_case, split_name, origin, found_share): a training and an evaluation case that ask the same.
 
     Pairs are found between distinct wordings and expanded to cases at the end. Rows loaded twice

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagery.llm import groupsplit, leakage, leximin, mixture, mojibake, overlap, pieces, reading
+from passagery.llm import groupsplit, leakage, leximin, markup, mixture, mojibake, overlap, pieces, reading
 from passagery.runtime import table
 
 SCORES = ["dense_score", "sparse_score", "late_interaction_score"]
@@ -33,6 +33,18 @@ def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     return pieces.split_documents(table(spark, root, "documents_in"), table(spark, root, "phase5_configs")).distinct()
 
 
+def _records(spark: SparkSession, root: str) -> DataFrame:
+    return markup.records(table(spark, root, "documents_in"), table(spark, root, "spans"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return markup.markup_kinds(_records(spark, root))
+
+
+def p3_clean(spark: SparkSession, root: str) -> DataFrame:
+    return markup.clean_records(_records(spark, root))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     pairs = overlap.overlaps(table(spark, root, "benchmark_cases"))
     return pairs.select(
@@ -107,6 +119,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_ranking": p1_ranking,
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p3_found": p3_found,
+        "p3_clean": p3_clean,
         "p4_found": p4_found,
         "p4_report": p4_report,
         "p5_found": p5_found,
