@@ -158,7 +158,9 @@ def topic(section: Column, heading: Column) -> Column:
 
 
 def heading_slug(heading: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.lower(heading), "[`*_]", ""), r"[^\p{L}\p{N}]+", "-")
+    """Lower-case ASCII letters and digits of a heading, joined by hyphens; `section` where there are none."""
+    low = F.replace(F.lower(heading), F.lit("ß"), F.lit("ss"))
+    s = F.regexp_replace(F.regexp_replace(low, "[`*_]", ""), "[^a-z0-9]+", "-")
     return F.coalesce(F.nullif(F.regexp_replace(s, "^-+|-+$", ""), F.lit("")), F.lit("section"))
 
 

@@ -32,7 +32,7 @@ def identifier(c: str) -> str:
 
 
 def bigrams(tokens: str) -> str:
-    return f"list_concat({tokens}, list_transform(range(1, len({tokens})), lambda at: {tokens}[at] || ' ' || {tokens}[at + 1]))"
+    return f"list_concat({tokens}, list_transform(range(1, len({tokens})), lambda nth: {tokens}[nth] || ' ' || {tokens}[nth + 1]))"
 
 
 def technical(c: str) -> str:
@@ -113,8 +113,8 @@ ORACLES["overlap_vocabulary"] = f"""SELECT term, count(*) AS n FROM (SELECT unne
 ORACLES["ltr_vocabulary"] = f"""SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(list_filter({runs('text')},
   lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*$')), lambda t: lower(t)),
   lambda t: NOT list_contains({lst(T.STOP_LTR)}, t))) AS term FROM queries) GROUP BY term"""
-ORACLES["heading_slugs"] = r"""SELECT slug, count(*) AS n FROM (SELECT coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(heading), '[`*_]', '', 'g'),
-  '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS slug FROM spans) GROUP BY slug"""
+ORACLES["heading_slugs"] = r"""SELECT slug, count(*) AS n FROM (SELECT coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(replace(lower(heading), 'ß', 'ss'), '[`*_]', '', 'g'),
+  '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') AS slug FROM spans) GROUP BY slug"""
 ORACLES["label_sources"] = r"SELECT lower(trim(replace(coalesce(document_id, ''), '\', '/'))) AS source, count(*) AS labels FROM case_labels GROUP BY 1"
 ORACLES["question_forms"] = r"""SELECT sha256(q) AS question_hash, cases, first_case FROM (SELECT lower(trim(regexp_replace(question, '\s+', ' ', 'g'))) AS q,
   count(DISTINCT case_no) AS cases, min(case_no) AS first_case FROM benchmark_cases GROUP BY 1)"""
