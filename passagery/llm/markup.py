@@ -16,7 +16,7 @@ from __future__ import annotations
 import html
 import html.entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -46,9 +46,10 @@ _CODE = re.compile(
     re.S | re.M | re.I,
 )
 _DISPLAY = re.compile(
-    r"\$\$(?P<a>.+?)\$\$|\\\[(?P<b>.+?)\\\]|\\begin\{(?P<e>equation|align|gather|multline|displaymath|eqnarray)\*?\}(?P<c>.+?)\\end\{(?P=e)\*?\}", re.S
+    r"\$\$(?P<a>(?:[^\n]|\n(?!\s*\n))+?)\$\$|\\\[(?P<b>(?:[^\n]|\n(?!\s*\n))+?)\\\]"
+    r"|\\begin\{(?P<e>equation|align|gather|multline|displaymath|eqnarray)\*?\}(?P<c>.+?)\\end\{(?P=e)\*?\}",
+    re.S,
 )
-_INLINE_MATH = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]*?[\\^{][^$\n]*?)(?<=[^\s\\$])\$(?![\w$])|\\\((.+?)\\\)")
 _INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)([^`\n]+?)(?<!`)\1(?!`)")
 
 _MARKDOWN = re.compile(
@@ -138,9 +139,9 @@ def _mask(text: str, kinds: set[str]) -> tuple[str, _Masks]:
         kinds.add("latex")
         return masks.put("math", (m["a"] or m["b"] or m["c"]).strip(), True)
 
-    def math(m: re.Match) -> str:
+    def math(own: str) -> str:
         kinds.add("latex")
-        return masks.put("math", (m.group(1) or m.group(2)).strip(), False)
+        return masks.put("math", own.strip(), False)
 
     def inline_code(m: re.Match) -> str:
         kinds.add("markdown")
@@ -148,10 +149,31 @@ def _mask(text: str, kinds: set[str]) -> tuple[str, _Masks]:
 
     text = _CODE.sub(code, text)
     text = _INLINE_CODE.sub(inline_code, text)
-    text = _INLINE_MATH.sub(math, _DISPLAY.sub(display, text))
+    text = _DISPLAY.sub(display, text)
+    if "$" in text or "\\(" in text:
+        text = "\n".join(_inline_math(line, math) for line in text.split("\n"))
     return text, masks
 
 
+def _inline_math(line: str, put: Callable[[str], str]) -> str:
+    """line with its $...$ and \\(...\\) formulas put away; amounts of money, in which no sign of mathematics stands, stay."""
+    line = re.sub(r"\\\(([^\n]{1,2000}?)\\\)", lambda m: put(m.group(1)), line)
+    at = [m.start() for m in re.finditer(r"\$", line)]
+    out, last, k = [], 0, 0
+    while k + 1 < len(at):
+        a, b = at[k], at[k + 1]
+        own = line[a + 1 : b]
+        before, after = line[a - 1 : a], line[b + 1 : b + 2]
+        fits = own and not own[0].isspace() and not own[-1].isspace() and own[-1] != "\\"
+        if fits and re.search(r"[\\^{]", own) and not re.match(r"[\\\w]", before) and not re.match(r"\w", after):
+            out += [line[last:a], put(own)]
+            last = b + 1
+            k += 2
+        else:
+            k += 1
+    return "".join([*out, line[last:]])
+
+
 _BLOCKS = re.compile(r"^(?:p|div|section|article|main|table|ul|ol|dl|blockquote|details|summary|figure|form|header|footer|nav|aside|body|html)$")
 _CLASS = re.compile(r"\b(?:class|role)\s*=\s*[\"']?([\w-]+)", re.I)
 

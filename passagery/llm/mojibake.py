@@ -154,7 +154,8 @@ def _utf8_run(run: str, encoding: str) -> str:
 
 
 def _utf8_runs(text: str, encoding: str) -> str:
-    return _HIGH_RUN.sub(lambda m: _utf8_run(m.group(), encoding), text)
+    # only short runs are kept, so that a text without ASCII doesn't fill the memory
+    return _HIGH_RUN.sub(lambda m: (_utf8_run if len(m.group()) <= 32 else _utf8_run.__wrapped__)(m.group(), encoding), text)
 
 
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
