@@ -73,7 +73,7 @@ def quotas(blocks: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
     out["tokens"] = [int(have.get(s, 0)) for s in out["source"]]
     out["wanted"] = out["target_share"].fillna(0) * float(out["tokens"].sum())
     out["most"] = out["tokens"] * out["max_repeats"].fillna(1)
-    out["short"] = out["most"] < out["wanted"]
+    out["short"] = out["most"] < out["wanted"] * (1 - 1e-9)
     out["given"] = np.minimum(out["most"], out["wanted"])
     return out
 
