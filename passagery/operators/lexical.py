@@ -6,9 +6,12 @@ the mean idf of all terms. A query term that is repeated counts each time.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagery.operators import blocked
+
 
 def postings(corpus: DataFrame, key: str, tokens: Column, extra: tuple[str, ...] = ()) -> DataFrame:
     """(key, extra..., term, tf, dl): one row for each term of a passage; dl is its number of tokens."""
@@ -24,8 +27,12 @@ def corpus_stats(corpus: DataFrame, tokens: Column, by: tuple[str, ...] = ()) ->
 
 
 def term_idf(posts: DataFrame, stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., term, idf): document frequencies turned into idf, negatives replaced."""
-    df = posts.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    """(by..., term, df, idf) of postings."""
+    return _idf(posts.groupBy(*by, "term").agg(F.count("*").alias("df")), stats, by)
+
+
+def _idf(df: DataFrame, stats: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Document frequencies turned into idf, negatives replaced."""
     # one row of statistics for each value of by
     raw = (df.join(stats, list(by)) if by else df.crossJoin(stats)).withColumn(
         "raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -67,48 +74,88 @@ def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("qid",), positive: b
     return out.where("score > 0") if positive else out
 
 
+def term_weights(corpus: DataFrame, tokens: Column, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) without postings: distinct terms of each passage, counted before the shuffle."""
+    terms = corpus.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    return _idf(terms.groupBy("term").agg(F.count("*").alias("df")), stats, ())
+
+
+def _search(queries: DataFrame, qkey: str, qtokens: Column, corpus: DataFrame, key: str, tokens: Column, settings: list[tuple[float, float]], k: int) -> DataFrame:
+    own = corpus.select(F.col(key).alias("key"), tokens.alias("t0")).where("key IS NOT NULL")
+    stats = corpus_stats(own, F.col("t0"))
+    idf = term_weights(own, F.col("t0"), stats)
+    terms = query_terms(queries, qkey, qtokens).join(idf, "term").select("qid", F.lit("t").alias("field"), "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    mean = stats.collect()[0]["avgdl"] or 0.0
+    out = None
+    for rows in blocked.query_blocks(terms):
+        part = blocked.best(blocked.Block(rows, ["t"], {"t": mean}), own, settings, k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def bm25_topk(
     queries: DataFrame, qkey: str, qtokens: Column, corpus: DataFrame, key: str, tokens: Column, k: int = 5, k1: float = 1.5, b: float = 0.75
 ) -> DataFrame:
     """(qid, rank, key, score): the default profile. Queries or corpora without tokens give no rows."""
-    posts = postings(corpus, key, tokens)
-    stats = corpus_stats(corpus, tokens)
-    scores = bm25_scores(query_terms(queries, qkey, qtokens), posts, term_idf(posts, stats), stats, F.lit(k1), F.lit(b))
-    return top_k(scores, k)
+    return top_k(_search(queries, qkey, qtokens, corpus, key, tokens, [(k1, b)], k).drop("setting"), k)
+
+
+def bm25_grid(
+    queries: DataFrame, qkey: str, qtokens: Column, corpus: DataFrame, key: str, tokens: Column, settings: list[tuple[float, float]], k: int = 5
+) -> DataFrame:
+    """(qid, k1, b, rank, key, score): several settings of k1 and b in one pass over the corpus."""
+    found = top_k(_search(queries, qkey, qtokens, corpus, key, tokens, settings, k), k, ("qid", "setting"))
+    at = lambda n: F.element_at(F.array(*(F.lit(float(s[n])) for s in settings)), F.col("setting") + 1)
+    return found.select("qid", at(0).alias("k1"), at(1).alias("b"), "rank", "key", "score")
 
 
-def field_scores(queries: DataFrame, qkey: str, qtokens: Column, fields: DataFrame, tokens: Column, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, field, key, score) of the matching passages, each field an index of its own; fields: (key, field, text)."""
-    posts = postings(fields, "key", tokens, ("field",))
-    stats = corpus_stats(fields, tokens, ("field",))
-    idf = term_idf(posts, stats, ("field",))
-    terms = query_terms(queries, qkey, qtokens)
-    weighted = terms.join(idf, "term").join(posts, ["term", "field"]).join(stats, "field")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return weighted.groupBy("qid", "field", "key").agg(F.sum(part).alias("score"))
+def corpus_scaled(
+    queries: DataFrame, qkey: str, qtokens: Column, corpus: DataFrame, key: str, tokens: Column, k: int, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """(qid, rank, key, score, norm): the best k, with norm min-max scaled over the whole corpus, where passages without a hit score 0."""
+    own = corpus.select(F.col(key).alias("key"), tokens.alias("t0")).where("key IS NOT NULL")
+    stats = corpus_stats(own, F.col("t0"))
+    idf = term_weights(own, F.col("t0"), stats)
+    terms = query_terms(queries, qkey, qtokens).join(idf, "term").select("qid", F.lit("t").alias("field"), "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    one = stats.collect()[0]
+    tops, ranges = None, None
+    for rows in blocked.query_blocks(terms):
+        block = blocked.Block(rows, ["t"], {"t": one["avgdl"] or 0.0})
+        t, r = blocked.best(block, own, [(k1, b)], k, False), blocked.spans(block, own, k1, b)
+        tops, ranges = (t, r) if tops is None else (tops.unionByName(t), ranges.unionByName(r))
+    lo = F.when(F.col("hit") < one["n_docs"], F.least("lo", F.lit(0.0))).otherwise(F.col("lo"))
+    norm = F.when(F.col("hi") > lo, (F.col("score") - lo) / (F.col("hi") - lo)).otherwise(F.lit(1.0))
+    return top_k(tops, k, positive=False).join(ranges, "qid").select("qid", "rank", "key", "score", norm.alias("norm"))
 
 
 def field_bm25(
-    queries: DataFrame, qkey: str, qtokens: Column, fields: DataFrame, tokens: Column, weights: dict[str, float], k: int = 5
+    queries: DataFrame, qkey: str, qtokens: Column, fields: DataFrame, tokens: Column, weights: dict[str, float], k: int = 5, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """(qid, rank, key, score): min-max per field over the whole corpus, weighted sum, best k above 0.
 
-    Passages that a field doesn't match score 0 there, so the field's minimum over the corpus is
-    min(0, least score) and its maximum max(0, greatest): no product of queries and passages is
-    needed. Where all passages score alike each gets the field's whole weight, which orders nothing
-    and is left out.
+    fields: (key, field, text), each field an index of its own. Two passes over the corpus: one for
+    the range of each field's scores, one for the sums. Passages that a field doesn't match score 0
+    there, so no product of queries and passages is needed. Where all passages score alike each gets
+    the field's whole weight, which orders nothing and is left out.
     """
-    scores = field_scores(queries, qkey, qtokens, fields, tokens)
-    n = fields.groupBy("field").agg(F.count("*").alias("n"))
-    span = scores.groupBy("qid", "field").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("hit")).join(n, "field")
-    some_missing = F.col("hit") < F.col("n")
-    span = span.select(
-        "qid", "field",
-        F.when(some_missing, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"),
-        F.when(some_missing, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"),
-    )
-    w = F.coalesce(*(F.when(F.col("field") == f, F.lit(float(x))) for f, x in weights.items()))
-    normed = scores.join(span, ["qid", "field"]).where("hi > lo").select(
-        "qid", "key", (w * (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("part")
-    )
-    return top_k(normed.groupBy("qid", "key").agg(F.sum("part").alias("score")), k)
+    names = list(weights)
+    long = fields.select("key", "field", tokens.alias("t")).where(F.col("field").isin(*names) & F.col("key").isNotNull())
+    stats = corpus_stats(long, F.col("t"), ("field",))
+    terms_of = long.select("field", F.explode(F.array_distinct("t")).alias("term"))
+    idf = _idf(terms_of.groupBy("field", "term").agg(F.count("*").alias("df")), stats, ("field",))
+    terms = query_terms(queries, qkey, qtokens).join(idf, "term").select("qid", "field", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    none = F.array().cast("array<string>")
+    wide = long.groupBy("key").agg(*(F.coalesce(F.max(F.when(F.col("field") == n, F.col("t"))), none).alias(f"t{i}") for i, n in enumerate(names)))
+    per = {r["field"]: r for r in stats.collect()}  # one row a field
+    mean = {n: (per[n]["avgdl"] or 0.0) if n in per else 0.0 for n in names}
+    out = None
+    for rows in blocked.query_blocks(terms):
+        block = blocked.Block(rows, names, mean)
+        scale = blocked.spans(block, wide, k1, b).toPandas()  # at most a row for each query of the block and field
+        if len(scale):
+            missing = scale["hit"] < scale["field"].map(lambda n: per[n]["n_docs"])
+            scale["lo"] = np.where(missing, np.minimum(scale["lo"], 0.0), scale["lo"])
+            scale["hi"] = np.where(missing, np.maximum(scale["hi"], 0.0), scale["hi"])
+        part = blocked.best_scaled(block, wide, scale, weights, k1, b, k)
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, k)

@@ -153,11 +153,8 @@ def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
 @register
 def bm25_k1b_sweep(spark: SparkSession, root: str) -> DataFrame:
     q, c = asked(spark, root).where("variant = 'original'"), corpus(spark, root)
-    posts, stats = lexical.postings(c, "key", _word("content")), lexical.corpus_stats(c, _word("content"))
-    grid = F.explode(F.array(*(F.struct(F.lit(k).alias("k1"), F.lit(b).alias("b")) for k in (0.9, 1.2, 1.5) for b in (0.3, 0.75))))
-    terms = lexical.query_terms(q, "qid", _word("text")).select("*", grid.alias("g")).select("qid", "term", "qtf", "g.k1", "g.b")
-    scores = lexical.bm25_scores(terms, posts, lexical.term_idf(posts, stats), stats, F.col("k1"), F.col("b"), (), ("k1", "b"))
-    top = lexical.top_k(scores, 1, ("qid", "k1", "b"))
+    grid = [(k1, b) for k1 in (0.9, 1.2, 1.5) for b in (0.3, 0.75)]
+    top = lexical.bm25_grid(q, "qid", _word("text"), c, "key", _word("content"), grid, 1)
     return top.select("qid", "k1", "b", "key", r6("score").alias("score"))
 
 
@@ -191,17 +188,8 @@ def corpus_profile_bm25(spark: SparkSession, root: str) -> DataFrame:
     """Whole-corpus profile: scores min-max scaled over all chunks (those without a hit score 0), the best 5 shown."""
     q, c = asked(spark, root).where("variant = 'original'"), corpus(spark, root)
     tok = lambda x: text.technical_tokens(F.col(x))
-    posts, stats = lexical.postings(c, "key", tok("content")), lexical.corpus_stats(c, tok("content"))
-    scores = lexical.bm25_scores(
-        lexical.query_terms(q, "qid", tok("text")), posts, lexical.term_idf(posts, stats), stats, F.lit(1.2), F.lit(0.75)
-    )
-    span = scores.groupBy("qid").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("hit")).crossJoin(
-        stats.select("n_docs")  # one row
-    )
-    span = span.withColumn("lo", F.when(F.col("hit") < F.col("n_docs"), F.least("lo", F.lit(0.0))).otherwise(F.col("lo")))
-    top = lexical.top_k(scores, 5, positive=False).join(span, "qid")
-    norm = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(1.0))
-    return top.select("qid", F.col("rank").cast("long").alias("rank"), "key", r6(norm).alias("norm"))
+    top = lexical.corpus_scaled(q, "qid", tok("text"), c, "key", tok("content"), 5)
+    return top.select("qid", F.col("rank").cast("long").alias("rank"), "key", r6("norm").alias("norm"))
 
 
 # -- fusion -------------------------------------------------------------------------------------
