@@ -58,6 +58,8 @@ _ZERO = re.compile("[​-‏⁠﻿­]")
 _TOKEN = re.compile(r"[^\W_]+(?:[_.\-/:'’][^\W_]+)*")
 _NAME = re.compile(r"[A-Za-z0-9]+[_.\-/:][A-Za-z0-9]|[a-z][A-Z]|\d")
 MIN_NAME = 9
+#: Endings of words of the language, which a long rare word that is a name hardly has.
+_ENDING = re.compile(r"(?:ly|ing|ed|ions?|ments?|ness|able|ible|ances?|ences?|ish|ical|ous|ity|ies|ful|less|ive)$")
 
 
 def tokens(text: str) -> list[tuple[str, bool]]:
@@ -109,14 +111,20 @@ class Speller:
 
 
 def canonical(text: str, speller: Speller) -> tuple[str, str]:
-    """(the names and numbers, the words), each sorted, distinct and joined by blanks."""
+    """(the names and numbers, the words), each sorted, distinct and joined by blanks.
+
+    Where a question has lost its capitals, a long rare word may be a name that showed by them, and
+    counts as one, unless it ends like a word of the language.
+    """
     hard, soft = set(), set()
+    body = text.strip().partition(" ")[2]
+    lost = not any(c.isupper() for c in body) or not any(c.islower() for c in body)
     for t, name in tokens(text):
         if name:
             hard.add(t)
             continue
         t = speller.read(t)
-        if len(t) >= MIN_NAME and t not in speller.common:
+        if lost and len(t) >= MIN_NAME and t not in speller.common and not _ENDING.search(t):
             hard.add(t)
         elif t not in STOP:
             soft.add(t)
