@@ -117,14 +117,21 @@ class PairwiseRanker:
         self.weights: np.ndarray | None = None
 
     def fit(self, rows: DataFrame, group: str = "qid", label: str = "gain", key: str = "key") -> PairwiseRanker:
-        """Learn from the pairs of a better and a worse row; candidate lists are bounded by the retrieval depth."""
+        """Learn from all pairs of a better and a worse row.
+
+        A row of the least label of its group is nobody's better and only meets the rows above it, so
+        where few rows stand above the least label, the pairs grow with the rows and not with their square.
+        """
         if rows.select(group).distinct().limit(2).count() < 2:
             raise ValueError("at least two groups are needed")
         own = rows.select(group, key, label, F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.columns)).alias("x"))
-        a, b = own.alias("a"), own.alias("b")
-        pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{label}") > F.col(f"b.{label}")))
+        least = own.groupBy(group).agg(F.min(label).alias("least"))
+        better = own.join(least, group).where(F.col(label) > F.col("least"))
+        a, b = better.alias("a"), own.alias("b")
+        pairs = b.join(a, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{label}") > F.col(f"b.{label}")))
         diff = pairs.select(F.zip_with("a.x", "b.x", lambda u, v: u - v).alias("d"))
-        both = diff.select("d", F.lit(1.0).alias("y")).unionByName(diff.select(F.transform("d", lambda v: -v).alias("d"), F.lit(0.0).alias("y")))
+        ways = F.array(F.struct(F.col("d"), F.lit(1.0).alias("y")), F.struct(F.transform("d", lambda v: -v).alias("d"), F.lit(0.0).alias("y")))
+        both = diff.select(F.explode(ways).alias("w")).select("w.d", "w.y")
         vec = both.select(array_to_vector("d").alias("raw"), "y")
         scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True).fit(vec)
         model = LogisticRegression(featuresCol="features", labelCol="y", regParam=0.01, fitIntercept=False).fit(scaler.transform(vec))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from passagery.functions import signals, text, vectors
 from passagery.operators import analytics, chunking, evaluation, feedback, fusion, lexical, protocol, rerank
-from passagery.plans.queries import _word, asked, corpus, r6, register, stream_weight, streams
-from passagery.runtime import table
+from passagery.plans.queries import _word, asked, corpus, latest_candidates, r6, register, stream_weight, streams
+from passagery.runtime import cut_lineage, table
 
 K = 5
 
@@ -121,12 +121,17 @@ def ltr_features(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def pairwise_ltr(spark: SparkSession, root: str) -> DataFrame:
-    """A pairwise ranker learnt from the stored final order, applied to the same pools."""
+    """A pairwise ranker learnt from the stored final order, applied to all candidates of each query.
+
+    A missing score and its rank count 0. Candidates without a final score have no label: they are
+    ranked, but nothing is learnt from them.
+    """
     s = fusion.component_trace(streams(spark, root, "dense", "sparse", "late"), ["dense", "sparse", "late"])
     gold = streams(spark, root, "final").select("qid", "key", F.when(F.col("rank") <= 3, 2.0).when(F.col("rank") <= 10, 1.0).otherwise(0.0).alias("gain"))
-    rows = s.join(gold, ["qid", "key"]).where("dense_rank <= 30")
+    every = latest_candidates(spark, root).select("qid", "key")
+    rows = cut_lineage(every.join(s, ["qid", "key"], "left").join(gold, ["qid", "key"], "left"))
     columns = ("dense_score", "dense_rank", "sparse_score", "sparse_rank", "late_score", "late_rank", "stream_count")
-    ranker = rerank.PairwiseRanker(columns).fit(rows)
+    ranker = rerank.PairwiseRanker(columns).fit(rows.where("gain IS NOT NULL"))
     return lexical.top_k(ranker.predict(rows).withColumn("score", F.col("prediction")), K, positive=False).select("qid", "rank", "key", r6("score").alias("score"))
 
 

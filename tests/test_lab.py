@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagery.operators import analytics, chunking, evaluation, protocol
+from passagery.plans import lab
 from passagery.sources import cases, catalog, loaders, pages
 from passagery.streaming import ingest
 
@@ -194,3 +195,15 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     e = spark.createDataFrame([(1, "a", 2.0), (2, "a", 3.0)], "id long, event_type string, value double").withColumn("ts", F.lit("2024-01-01 00:10:00").cast("timestamp"))
     assert ingest.event_rates(e).collect()[0]["n"] == 2
+
+
+def test_pairwise_ltr_ranks_every_candidate(spark, tmp_path):
+    """The sparse score makes the stored order, so the best by it must come out: at dense rank 40, and without a dense score."""
+    rows = []
+    for q in ("q1", "q2"):
+        rows += [(q, f"k{i:02d}", 100.0 - i, 90.0 if i == 40 else (i * 7) % 50 / 1.0, 0.0, 90.0 if i == 40 else (i * 7) % 50 / 1.0) for i in range(1, 46)]
+        rows += [(q, "nodense", None, 80.0, 0.0, 80.0), (q, "nan", float("nan"), 70.0, 0.0, 70.0), (q, "nofinal", 10.0, 60.0, 0.0, None), (q, "none", None, None, None, None)]
+    c = spark.createDataFrame(rows, "query_id string, chunk_key string, dense_score double, sparse_score double, late_interaction_score double, final_score double")
+    c.withColumns({"scored_at": F.current_timestamp(), "loaded_at": F.current_timestamp()}).write.parquet(str(tmp_path / "native_candidates.parquet"))
+    got = lab.pairwise_ltr(spark, str(tmp_path)).collect()
+    assert {q: {r["key"] for r in got if r["qid"] == q} >= {"k40", "nodense", "nan", "nofinal"} for q in ("q1", "q2")} == {"q1": True, "q2": True}
