@@ -53,7 +53,7 @@ OPPOSITES = frozenset(
     ).split()
 )
 NEGATIONS = frozenset("not no never without cannot can't don't doesn't isn't aren't won't".split())
-
+_ANY_CASE = re.compile(COURTESIES.pattern, re.IGNORECASE)
 _ZERO = re.compile("[​-‏⁠﻿­]")
 _TOKEN = re.compile(r"[^\W_]+(?:[_.\-/:'’][^\W_]+)*")
 _NAME = re.compile(r"[A-Za-z0-9]+[_.\-/:][A-Za-z0-9]|[a-z][A-Z]|\d")
@@ -110,25 +110,36 @@ class Speller:
         return self.memo[w]
 
 
-def canonical(text: str, speller: Speller) -> tuple[str, str]:
-    """(the names and numbers, the words), each sorted, distinct and joined by blanks.
+def lost_capitals(text: str) -> bool:
+    """Has the question, without courtesies and its first word, not both capitals and small letters?"""
+    bare = _ANY_CASE.sub(" ", _ZERO.sub("", unicodedata.normalize("NFKC", text)))
+    body = re.sub(r"^\W+", "", bare).partition(" ")[2]
+    return not any(c.isupper() for c in body) or not any(c.islower() for c in body)
 
-    Where a question has lost its capitals, a long rare word may be a name that showed by them, and
-    counts as one, unless it ends like a word of the language.
-    """
-    hard, soft = set(), set()
-    body = text.strip().partition(" ")[2]
-    lost = not any(c.isupper() for c in body) or not any(c.islower() for c in body)
+
+def split_tokens(text: str, speller: Speller) -> tuple[set[str], set[str], set[str], bool]:
+    """(tokens that look like names or numbers, common words, rare words, has it lost its capitals); common words are never names."""
+    hard, soft, rare = set(), set(), set()
     for t, name in tokens(text):
-        if name:
+        if name and t not in speller.common:
             hard.add(t)
             continue
         t = speller.read(t)
-        if lost and len(t) >= MIN_NAME and t not in speller.common and not _ENDING.search(t):
-            hard.add(t)
-        elif t not in STOP:
-            soft.add(t)
-    return " ".join(sorted(hard)), " ".join(sorted(soft))
+        if t not in STOP:
+            (soft if t in speller.common else rare).add(t)
+    return hard, soft, rare - hard, lost_capitals(text)
+
+
+def may_be_name(t: str) -> bool:
+    """May this rare word of a question without capitals be a name? Long ones may, unless they end like a word of the language."""
+    return len(t) >= MIN_NAME and not _ENDING.search(t)
+
+
+def canonical(text: str, speller: Speller) -> tuple[str, str]:
+    """(the names and numbers, the words) of a question by itself, each sorted, distinct and joined by blanks."""
+    hard, soft, rare, lost = split_tokens(text, speller)
+    names = {t for t in rare if lost and may_be_name(t)}
+    return " ".join(sorted(hard | names)), " ".join(sorted(soft | rare - names))
 
 
 def same_sense(hard: str, a: str, b: str, min_share: float) -> bool:
@@ -233,26 +244,33 @@ def sequence(hard: str, soft: str) -> list[str]:
     return [_FIRST, *hard.split(), _SEP, *soft.split()]
 
 
-CLASS_SCHEMA = "case_no long, split string, origin string, hard string, soft string"
+TOKEN_SCHEMA = "case_no long, split string, origin string, hard array<string>, soft array<string>, rare array<string>, lost array<string>"
 PAIR_SCHEMA = "hard string, train_soft string, eval_soft string, found_share double, longest_run int, occurrences long"
 
 
 def common_words(questions: DataFrame, least_share: float = 0.001, least_count: int = 5) -> DataFrame:
-    """(word, n): words without the look of names that at least this share of all questions use.
+    """(word, n): words that at least this share of all questions use, more of them without the look of a name than with it.
 
     Their number is bounded by the mean length of a question over least_share, whatever the input.
     """
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"word": [w for q in pdf["q"] for w in {t for t, name in tokens(q) if not name}]})
+            yield pd.DataFrame([x for q in pdf["q"] for x in set(tokens(q))], columns=["word", "name"])
 
     total = questions.count()
-    words = questions.select("q").mapInPandas(split, "word string").groupBy("word").agg(F.count("*").alias("n"))
-    return words.where(F.col("n") >= max(least_count, least_share * total))
+    words = questions.select("q").mapInPandas(split, "word string, name boolean").groupBy("word").agg(
+        F.count_if(~F.col("name")).alias("n"), F.count_if("name").alias("names")
+    )
+    return words.where((F.col("n") >= max(least_count, least_share * total)) & (F.col("n") > F.col("names"))).select("word", "n")
 
 
 def classes(cases: DataFrame) -> DataFrame:
-    """(case_no, split, origin, hard, soft) of every distinct case row with a question that has words."""
+    """(case_no, split, origin, hard, soft) of every distinct case row with a question that has words.
+
+    Whether a token is a name is decided once for all questions, so that both sides of a pair are split
+    alike: a rare word is a name if it looks like one in any question, or if it may be one and stands only
+    in questions that have lost their capitals.
+    """
     rows = cases.select(
         F.col("case_no").cast("long").alias("case_no"),
         F.lower(F.trim("split_name")).alias("split"),
@@ -262,14 +280,27 @@ def classes(cases: DataFrame) -> DataFrame:
     common = {r["word"]: r["n"] for r in common_words(rows).collect()}
     shared = cases.sparkSession.sparkContext.broadcast(common)
 
-    def canon(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         speller = Speller(shared.value)
         for pdf in batches:
-            parts = [canonical(q, speller) for q in pdf["q"]]
-            out = pdf[["case_no", "split", "origin"]].assign(hard=[p[0] for p in parts], soft=[p[1] for p in parts])
-            yield out[(out["hard"] != "") | (out["soft"] != "")]
-
-    return rows.mapInPandas(canon, CLASS_SCHEMA)
+            got = [split_tokens(q, speller) for q in pdf["q"]]
+            yield pdf[["case_no", "split", "origin"]].assign(
+                hard=[list(g[0]) for g in got], soft=[list(g[1]) for g in got], rare=[list(g[2]) for g in got],
+                lost=[[t for t in g[2] if g[3] and may_be_name(t)] for g in got],
+            )
+
+    own = cut_lineage(rows.mapInPandas(parts, TOKEN_SCHEMA).withColumn("row", F.monotonically_increasing_id()))
+    rare = own.select("row", F.explode("rare").alias("t"), F.array_contains("lost", F.col("t")).alias("open"))
+    seen = own.select(F.explode("hard").alias("t"), F.lit(True).alias("look"), F.lit(None).cast("boolean").alias("open"))
+    seen = seen.unionByName(rare.select("t", F.lit(False).alias("look"), "open"))
+    names = seen.groupBy("t").agg(F.max("look").alias("look"), F.min("open").alias("open")).where("open IS NOT NULL AND (look OR open)")
+    named = rare.join(names.select("t"), "t").groupBy("row").agg(F.collect_set("t").alias("names"))  # the words of one question
+    both = own.join(named, "row", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    joined = lambda x: F.array_join(F.array_sort(x), " ")
+    return both.select(
+        "case_no", "split", "origin", joined(F.array_union("hard", "names")).alias("hard"),
+        joined(F.array_except(F.array_union("soft", "rare"), "names")).alias("soft"),
+    ).where("hard <> '' OR soft <> ''")
 
 
 def class_pairs(rows: DataFrame, min_share: float, shard_rows: int, block_rows: int) -> DataFrame:

@@ -67,3 +67,19 @@ def test_pairs_and_report(spark):
     rep = {(r["split_name"], r["ground_truth_origin"]): (r["cases"], r["overlapping"], r["pairs"]) for r in overlap_report(df).collect()}
     assert rep["dev", None] == (1, 1, 1) and rep["test", "m"] == (3, 3, 4) and rep["dev", "m"] == (3, 1, 1)
     assert overlaps(df.limit(0)).count() == 0 and overlaps(df.where("split_name = 'train'")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "train, held",
+    [
+        ("how often does anchor-auditor need to refresh mirrordonikoluku before the nightly export? Thanks!", "How often does anchor-auditor need to refresh MirrorDonikoluku before the nightly export?"),
+        ("How often on Mondays does anchor-auditor need to refresh mirrordonikoluku before the nightly export?", "How often on Mondays does anchor-auditor need to refresh MirrorDonikoluku before the nightly export?"),
+        ("what does relay-x write to key_1 overnight at the branch office", "What does relay-x write to KEY_1 overnight at the branch office?"),
+        ("which time-out does relay-x use for key_1 of the branch office", "Which timeout does relay-x use for KEY_1 of the branch office?"),
+    ],
+)
+def test_both_sides_are_split_alike(spark, train, held):
+    other = held.replace("MirrorDonikoluku", "MirrorDonikolaku").replace("KEY_1", "KEY_2")
+    rows = [(1, "train", "m", train), (2, "dev", "m", held), (3, "test", "m", other)]
+    df = spark.createDataFrame(rows, "case_no long, split_name string, ground_truth_origin string, question string")
+    assert [(r["train_case"], r["eval_case"]) for r in overlaps(df).collect()] == [(1, 2)]
