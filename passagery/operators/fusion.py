@@ -51,8 +51,12 @@ def order_fused(fused: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> Dat
 
 
 def fuse_variants(lists: DataFrame, strategy: str, weights: dict[str, float], k: int = 60) -> DataFrame:
-    """Fusion of already fused lists over the variants of a query; a query with one variant passes unchanged."""
-    w = F.coalesce(*(F.when(F.col("variant") == v, F.lit(float(x))) for v, x in weights.items()), F.lit(1.0))
+    """Fusion of already fused lists over the variants of a query; a query with one variant passes unchanged.
+
+    Several lists of one kind are told apart by what follows a # in the variant.
+    """
+    kind = F.substring_index("variant", "#", 1)
+    w = F.coalesce(*(F.when(kind == v, F.lit(float(x))) for v, x in weights.items()), F.lit(1.0))
     many = lists.groupBy("qid").agg(F.count_distinct("variant").alias("variants"))
     stacked = minmax(lists, ("qid", "variant")).join(many, "qid")
     part = {"weighted_linear": w * F.col("norm"), "rrf": 1.0 / (k + F.col("rank")), "weighted_rrf": w / (k + F.col("rank"))}[strategy]

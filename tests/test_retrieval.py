@@ -159,3 +159,33 @@ def test_settings_are_checked(make):
 
 def test_depth():
     assert RetrievalConfig().depth == 20 and RetrievalConfig(top_k=5, candidate_depth=None).depth == 30 and RetrievalConfig(ltr_depth=50).depth == 50
+
+
+class Backwards:
+    def predict(self, rows):
+        return rows.withColumn("prediction", -F.col("sparse_score"))
+
+
+def test_every_stage_takes_part(spark):
+    c = spark.createDataFrame([("a", "cursor cursor cursor list", "A", "a.md"), ("b", "cursor page of the API with words", "B", "b.md"), ("c", "vault prefix", "C", "c.md"), ("d", "other words", "D", "d.md")] + [(f"f{i}", f"filler{i}", "F", "f.md") for i in range(6)],
+                              "key string, content string, heading_path string, file_name string")
+    q = spark.createDataFrame([("q", "API cursor")], "qid string, text string")
+    keys = lambda **x: [r["key"] for r in pipeline.retrieve(q, c, None, RetrievalConfig(**x.pop("config", {})), **x).orderBy("rank").collect()]
+    plain = keys()
+    two = lambda df: df.withColumn("text", F.explode(F.array(F.lit("vault"), F.lit("other"))))
+    assert set(plain) == {"a", "b"}
+    assert set(keys(config={"expansion_policy": "always", "top_k": 4}, expander=two)) == {"a", "b", "c", "d"}
+    assert keys(ranker=Backwards()) == plain[::-1]
+    assert keys(config={"rerank_pool": 20, "top_k": 1}, reranker=lambda t, p: -p.str.len()) == ["a"] and keys(config={"rerank_pool": 20, "top_k": 1}, reranker=lambda t, p: p.str.len()) == ["b"]
+    score = lambda on: {r["key"]: r["score"] for r in pipeline.retrieve(q, c, None, RetrievalConfig(adaptive_routing=on, fusion="rrf")).collect()}
+    assert round(score(True)["b"] - score(False)["b"], 6) == 0.15 and score(True)["a"] == score(False)["a"]
+    for x in ({"expansion_policy": "always"}, {"rewrite_policy": "always"}, {"rerank_pool": 20}, {"ltr_depth": 20}):
+        with pytest.raises(ValueError):
+            pipeline.retrieve(q, c, None, RetrievalConfig(**x))
+
+
+def test_field_feedback(spark):
+    q, c, d = world(spark)
+    score = lambda **x: {(r["qid"], r["key"]): round(r["score"], 9) for r in pipeline.retrieve_fields(q, c, {"qwen": d}, FieldConfig(feedback_threshold=1.0, **x)).collect()}
+    without, with_it = score(), score(feedback=True)
+    assert with_it != without and with_it["q1", "b"] > without["q1", "b"] and score(feedback=True, feedback_weight=0.0)["q1", "b"] == without["q1", "b"]
