@@ -88,7 +88,7 @@ def test_pairs_and_report(spark):
     rows += [rows[0], (200, "dev", "m", None), (201, None, "m", base.format(1)), (None, "dev", "m", base.format(1)), (202, "dev", "m", ""), (203, "train", "m", base.format(0))]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "case_no long, split_name string, ground_truth_origin string, question string, hard string, split string")
     want = {(i, 100 + i) for i in range(5)} | {(203, 100)}
-    for shard, block in ((20_000, 50_000), (2, 3)):  # one shard, and shards cut into parts and blocks
+    for shard, block in ((20_000, 50_000), (10, 15)):  # one shard, and shards cut into parts and blocks
         got = [(r["train_case"], r["eval_case"]) for r in overlaps(df, shard_rows=shard, block_rows=block).collect()]
         assert set(got) == want and len(got) == len(want)
     rep = {(r["split_name"], r["ground_truth_origin"]): (r["cases"], r["overlapping"], r["pairs"]) for r in overlap_report(df).collect()}
