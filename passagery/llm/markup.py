@@ -1,14 +1,16 @@
 """Problem 3: markup residue (HTML, Markdown, wiki, LaTeX) turned into clean text, by site style trees.
 
-Every record is parsed into a small DOM of block nodes (headings, list items, table rows, code,
-formulas, paragraphs), each with the presentation it was written in and the kinds of markup met. The
-DOMs of one host (the first part of the file name) are merged into a style tree: how varied the
-presentation of an element is over the pages, and how varied its content, give its importance by
-entropy. Branches that look alike on most pages of the host carry little and are removed from each
-page; what stays is written out with headings, lists, tables, code and formulas still shown as such.
-
-Only hashes of nodes are shuffled for the tree, with counts combined before the shuffle; a hot host is
-spread over its nodes.
+Every record is parsed into a DOM: containers (sections, lists, tables, HTML blocks) with their
+children, down to headings, list items, table rows, code, formulas and paragraphs; every node knows the
+presentation it was written in, and so the kinds of markup. The DOMs of one host (the first part of the
+file name) are merged into a style tree of paths: how varied the children of a container are over the
+pages, and how varied the content of a leaf, give their importance by entropy; a container takes its
+own and that of its children. Branches that look alike on most pages of the host carry little and are
+removed from each page; what stays is written out with headings, lists, tables, code and formulas still
+shown as such.
+
+Records are parsed once. Only hashes of nodes are shuffled for the tree, with counts combined before the
+shuffle; joins are salted, so a hot host or a sentence that all pages share is spread.
 """
 
 from __future__ import annotations
@@ -20,9 +22,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagery.llm.skew import salted_join
+from passagery.runtime import cut_lineage
+
 KINDS = ("html", "markdown", "wiki", "latex")
 
 #: Names of HTML elements.
@@ -83,81 +89,99 @@ def _has_entity(text: str) -> bool:
     return any(m.group(1) is None or f"{m.group(1)};" in html.entities.html5 for m in _ENTITY.finditer(text))
 
 
+CONTAINERS = frozenset("root section list table block".split())
+
+
 @dataclass
 class Node:
-    """A block: its element, the presentation it was written in, and its clean text."""
+    """A node of the DOM: its element, the presentation it was written in, its parent, its source and the kinds of markup in that."""
 
     element: str
     style: str
-    text: str
+    parent: int
+    raw: str = ""
+    kinds: frozenset[str] = frozenset()
+    text: str | None = None
 
 
 @dataclass
 class Dom:
-    kinds: set[str] = field(default_factory=set)
-    nodes: list[Node] = field(default_factory=list)
+    """The nodes in the order of the text; the first is the root, and every parent stands before its children."""
+
+    nodes: list[Node] = field(default_factory=lambda: [Node("root", "root", -1)])
+    masks: _Masks | None = None
+    latex: bool = False
+
+    @property
+    def kinds(self) -> set[str]:
+        return {k for n in self.nodes for k in n.kinds}
+
+    def clean(self) -> list[Node]:
+        """The nodes with their clean text, which is made once."""
+        for n in self.nodes:
+            if n.text is None:
+                if n.element in ("code", "math"):
+                    n.text = n.raw
+                elif n.element in CONTAINERS:
+                    n.text = ""
+                else:
+                    own = self.masks.inline(_inline(n.raw.replace("\x06", ""), self.latex)).strip()
+                    n.text = own if n.element == "p" else re.sub(r"\s*\n\s*", " ", own)
+        return self.nodes
 
 
 class _Masks:
-    """Code and formulas taken out of the text, so that nothing in them is read as markup."""
+    """Code and formulas taken out of the text, so that nothing in them is read as markup; each with its kind of markup."""
 
     def __init__(self) -> None:
-        self.kept: list[tuple[str, str]] = []
+        self.kept: list[tuple[str, str, str]] = []
 
-    def put(self, what: str, text: str, block: bool) -> str:
-        self.kept.append((what, text))
+    def put(self, what: str, text: str, block: bool, kind: str) -> str:
+        self.kept.append((what, text, kind))
         mark = f"\x02{len(self.kept) - 1}\x02"
         return f"\n{mark}\n" if block else mark
 
     def inline(self, text: str) -> str:
-        return re.sub("\x02(\\d+)\x02", lambda m: self.show(int(m.group(1))), text)
+        return _MARK.sub(lambda m: self.show(int(m.group(1))), text) if self.kept else text
 
     def show(self, k: int) -> str:
-        what, text = self.kept[k]
+        what, text, _ = self.kept[k]
         return f"${text}$" if what == "math" else text
 
 
-def _mask(text: str, kinds: set[str]) -> tuple[str, _Masks]:
+_MARK = re.compile("\x02(\\d+)\x02")
+
+
+def _mask(text: str) -> tuple[str, _Masks]:
     masks = _Masks()
 
     def code(m: re.Match) -> str:
         if m["f"]:
-            kinds.add("markdown")
-            body = m["ft"]
+            kind, body = "markdown", m["ft"]
         elif m["ht"] is not None:
-            kinds.add("html")
-            body = html.unescape(_TAG.sub("", m["ht"]))
+            kind, body = "html", html.unescape(_TAG.sub("", m["ht"]))
         elif m["v"]:
-            kinds.add("latex")
-            body = m["vt"]
+            kind, body = "latex", m["vt"]
         else:
-            kinds.add("wiki")
-            body = m["wt"]
-        return masks.put("code", body.strip("\n"), True)
-
-    def display(m: re.Match) -> str:
-        kinds.add("latex")
-        return masks.put("math", (m["a"] or m["b"] or m["c"]).strip(), True)
-
-    def math(own: str) -> str:
-        kinds.add("latex")
-        return masks.put("math", own.strip(), False)
-
-    def inline_code(m: re.Match) -> str:
-        kinds.add("markdown")
-        return masks.put("tick", m.group(2).strip(), False)
+            kind, body = "wiki", m["wt"]
+        return masks.put("code", body.strip("\n"), True, kind)
 
     text = _CODE.sub(code, text)
-    text = _INLINE_CODE.sub(inline_code, text)
-    text = _DISPLAY.sub(display, text)
+    text = _INLINE_CODE.sub(lambda m: masks.put("tick", m.group(2).strip(), False, "markdown"), text)
+    text = _DISPLAY.sub(lambda m: masks.put("math", (m["a"] or m["b"] or m["c"]).strip(), True, "latex"), text)
     if "$" in text or "\\(" in text:
-        text = "\n".join(_inline_math(line, math) for line in text.split("\n"))
+        text = "\n".join(_inline_math(line, lambda own: masks.put("math", own.strip(), False, "latex")) for line in text.split("\n"))
     return text, masks
 
 
 def _inline_math(line: str, put: Callable[[str], str]) -> str:
     """line with its $...$ and \\(...\\) formulas put away; amounts of money, in which no sign of mathematics stands, stay."""
-    line = re.sub(r"\\\(([^\n]{1,2000}?)\\\)", lambda m: put(m.group(1)), line)
+    out, last, at = [], 0, line.find("\\(")
+    while at >= 0 and (end := line.find("\\)", at + 3)) >= 0:
+        out += [line[last:at], put(line[at + 2 : end])]
+        last = end + 2
+        at = line.find("\\(", last)
+    line = "".join([*out, line[last:]])
     at = [m.start() for m in re.finditer(r"\$", line)]
     out, last, k = [], 0, 0
     while k + 1 < len(at):
@@ -179,29 +203,32 @@ _CLASS = re.compile(r"\b(?:class|role)\s*=\s*[\"']?([\w-]+)", re.I)
 
 
 def _tag_marks(m: re.Match) -> str:
+    """Marks in place of a tag: \\x04 opens an element of a style, \\x05 closes a block, \\x06 tells that a tag stood here."""
     close, tag, attrs = m.group(1), m.group(2).lower(), m.group(3) or ""
     c = _CLASS.search(attrs)
     style = tag + (f".{c.group(1)}" if c else "")
-    if re.fullmatch(r"h[1-6]|li|tr|dt|dd", tag):
-        return "\n" if close else f"\n\x04{style}\x04"
+    if _LEAF.fullmatch(tag):
+        return "\x06\n" if close else f"\n\x04{style}\x04"
     if tag in ("td", "th"):
-        return " | " if close else ""
+        return "\x06 | " if close else "\x06"
     if tag in ("br", "hr"):
-        return "\n"
+        return "\x06\n"
     if _BLOCKS.match(tag):
-        return "\n\n" if close else f"\n\n\x04{style}\x04"
+        if tag == "p":
+            return "\x06\n\n" if close else f"\n\n\x04{style}\x04"
+        return f"\n\n\x05{tag}\x05\n" if close else f"\n\n\x04{style}\x04\n"
     if tag == "img" and (alt := re.search(r"alt\s*=\s*[\"']([^\"']*)", attrs)):
-        return alt.group(1)
-    return ""
+        return "\x06" + alt.group(1)
+    return "\x06"
 
 
-_NEST = 6
+_LEAF = re.compile(r"h[1-6]|li|tr|dt|dd")
 
 
 def _inline(text: str, latex: bool) -> str:
     """Text of a block without inline markup."""
     text = re.sub(r"!?\[([^\[\]\n]*)\]\((?:[^()\s]+|<[^<>\n]+>)(?:\s+\"[^\"\n]*\")?\)", r"\1", text)
-    for _ in range(_NEST):
+    while True:  # every round that changes the text makes it shorter
         new = re.sub(r"\[\[(?![\s,])(?:[^\[\]|\n]*\|)?([^\[\]|\n]*?[^\s\[\]])\]\]", r"\1", text)
         new = re.sub(r"\{\{[A-Za-z#!:][^{}|\n]*(?:\|([^{}\n]*))?\}\}", lambda m: m.group(1) if m.group(1) and not m.group(1).isdigit() else "", new)
         new = re.sub(r"(?<![\w*\\])\*\*(?=[^\s*).,;:])([^*\n]*?[^\s*(])\*\*(?![\w*])", r"\1", new)
@@ -229,102 +256,184 @@ _SEPARATOR = re.compile(r"^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+(?:[ \t]*:?-{3,}
 _RULE = re.compile(r"^[ \t]*(?:-{3,}|\*{3,}|_{3,})[ \t]*$")
 
 
+class _Builder:
+    """Puts nodes under their parents: open HTML blocks, sections by heading level, lists and tables."""
+
+    def __init__(self, dom: Dom, present: tuple[tuple[str, re.Pattern], ...], entities: bool):
+        self.dom, self.present, self.entities = dom, present, entities
+        self.open: list[tuple[int, str, int]] = [(0, "root", 0)]  # (node, tag or "section", level)
+        self.group: int | None = None
+
+    def kinds(self, raw: str) -> frozenset[str]:
+        out = {k for k, pattern in self.present if pattern.search(raw)}
+        if "\x06" in raw or self.entities and "&" in raw and _has_entity(raw):
+            out.add("html")
+        if "\x02" in raw:
+            out.update(self.dom.masks.kept[int(k)][2] for k in _MARK.findall(raw))
+        return frozenset(out)
+
+    def add(self, element: str, style: str, raw: str, kinds: frozenset[str] | None = None, parent: int | None = None) -> int:
+        self.dom.nodes.append(Node(element, style, self.open[-1][0] if parent is None else parent, raw, self.kinds(raw) if kinds is None else kinds))
+        return len(self.dom.nodes) - 1
+
+    def note(self, kinds: frozenset[str]) -> None:
+        """Markup that belongs to no leaf is that of the innermost container."""
+        if kinds:
+            node = self.dom.nodes[self.open[-1][0]]
+            node.kinds |= kinds
+
+    def heading(self, level: int, style: str, raw: str, kinds: frozenset[str]) -> None:
+        self.group = None
+        while self.open[-1][1] == "section" and self.open[-1][2] >= level:
+            self.open.pop()
+        self.open.append((self.add("section", f"s{level}", "", frozenset()), "section", level))
+        self.add(f"h{level}", style, raw, kinds)
+
+    def item(self, element: str, style: str, raw: str, kinds: frozenset[str]) -> None:
+        kind = "list" if element == "li" else "table"
+        if self.group is None or self.dom.nodes[self.group].element != kind:
+            self.group = self.add(kind, kind, "", frozenset())
+        self.add(element, style, raw, kinds, self.group)
+
+    def leaf(self, element: str, style: str, raw: str, kinds: frozenset[str]) -> None:
+        self.group = None
+        self.add(element, style, raw, kinds)
+
+    def block(self, style: str) -> None:
+        self.group = None
+        self.open.append((self.add("block", style, "", frozenset(("html",))), style.partition(".")[0], 0))
+
+    def close(self, tag: str) -> None:
+        self.group = None
+        if any(t == tag for _, t, _ in self.open):
+            while self.open.pop()[1] != tag:
+                pass
+        else:
+            self.note(frozenset(("html",)))
+
+
 def parse(text: str | None) -> Dom:
-    """The DOM of a record. Null and empty texts have no nodes and no markup."""
+    """The DOM of a record. Null and empty texts have a root without children and no markup."""
     dom = Dom()
     if not text or not text.strip():
         return dom
-    text = re.sub("[\x02\x04]", "", text).replace("\r\n", "\n").replace("\r", "\n")
-    text, masks = _mask(text, dom.kinds)
-    if _TAG.search(text) or _COMMENT.search(text) or _has_entity(text):
-        dom.kinds.add("html")
-    for kind, pattern in (("markdown", _MARKDOWN), ("wiki", _WIKI), ("latex", _LATEX)):
-        if kind not in dom.kinds and pattern.search(text):
-            dom.kinds.add(kind)
+    text = re.sub("[\x02\x04-\x06]", "", text).replace("\r\n", "\n").replace("\r", "\n")
+    text, dom.masks = _mask(text)
     if "<" in text:
-        text = _TAG.sub(_tag_marks, _COMMENT.sub(" ", _DEAD.sub(" ", text)))
-    latex, wiki = "latex" in dom.kinds, "wiki" in dom.kinds
+        text = _TAG.sub(_tag_marks, _COMMENT.sub("\x06 ", _DEAD.sub("\x06 ", text)))
+    # a pattern that the whole text lacks need not be sought in each node
+    present = tuple((k, p) for k, p in (("markdown", _MARKDOWN), ("wiki", _WIKI), ("latex", _LATEX)) if p.search(text))
+    masked = {m[2] for m in dom.masks.kept}
+    own = {k for k, _ in present} | masked
+    dom.latex, wiki, markdown = "latex" in own, "wiki" in own, "markdown" in own
+    tree = _Builder(dom, present, "&" in text)
     para: list[str] = []
     para_style, in_table = "p", False
+    html_mark = frozenset(("html",))
 
     def flush() -> None:
         nonlocal para_style
         if para:
-            own = masks.inline(_inline("\n".join(para), latex)).strip()
-            if own:
-                dom.nodes.append(Node("p", para_style, own))
+            raw = "\n".join(para)
+            shown = [re.sub(r"^[ \t]*>[ \t]?", "", x) for x in para] if markdown else para
+            tree.leaf("p", para_style, "\n".join(shown), tree.kinds(raw) | (html_mark if para_style != "p" else frozenset()))
             para.clear()
         para_style = "p"
 
-    def add(element: str, style: str, raw: str) -> None:
-        own = masks.inline(_inline(raw, latex)).strip()
-        if own:
+    def item(element: str, style: str, raw: str, kinds: frozenset[str]) -> None:
+        if raw.strip(" \t\x06"):
             flush()
-            dom.nodes.append(Node(element, style, re.sub(r"\s*\n\s*", " ", own)))
+            (tree.heading(int(element[1]), style, raw, kinds) if element[0] == "h" else tree.item(element, style, raw, kinds))
+        else:
+            tree.note(kinds)
 
     for line in text.split("\n"):
-        marks = re.findall("\x04([^\x04]*)\x04", line)
-        line = re.sub("\x04[^\x04]*\x04", "", line)
-        mark = next((m for m in marks if re.match(r"h[1-6]|li|tr|dt|dd", m)), marks[-1] if marks else "")
-        bare = line.strip()
-        if (m := re.fullmatch("\x02(\\d+)\x02", bare)) and masks.kept[int(m.group(1))][0] != "tick":
-            what, body = masks.kept[int(m.group(1))]
+        mark = ""
+        if "\x05" in line:
             flush()
-            dom.nodes.append(Node(what, what, body))
-        elif mark[:2] in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            add(mark[:2], mark, line)
-        elif mark.startswith("tr"):
-            add("row", mark, re.sub(r"(?:\s*\|\s*)+$", "", line))
-        elif mark[:2] in ("li", "dt", "dd"):
-            add("li", mark, line)
+            for tag in re.findall("\x05([^\x05]*)\x05", line):
+                tree.close(tag)
+            line = re.sub("\x05[^\x05]*\x05", "", line)
+        if "\x04" in line:
+            marks = re.findall("\x04([^\x04]*)\x04", line)
+            line = re.sub("\x04[^\x04]*\x04", "", line)
+            leaves = [m for m in marks if _LEAF.match(m) and _LEAF.fullmatch(m.partition(".")[0]) or m.partition(".")[0] == "p"]
+            for m in marks:
+                if m not in leaves:
+                    flush()
+                    tree.block(m)
+            mark = next((m for m in leaves if m.partition(".")[0] != "p"), leaves[-1] if leaves else "")
+        bare = line.strip(" \t\x06") if "\x06" in line else line.strip()
+        tag = mark.partition(".")[0]
+        shown = html_mark if mark else frozenset()
+        if (m := _MARK.fullmatch(bare)) and dom.masks.kept[int(m.group(1))][0] != "tick":
+            what, body, kind = dom.masks.kept[int(m.group(1))]
+            flush()
+            tree.leaf(what, what, body, shown | {kind} | (html_mark if "\x06" in line else frozenset()))
+        elif _HX.fullmatch(tag):
+            item(tag, mark, line, shown | tree.kinds(line))
+        elif tag == "tr":
+            item("row", mark, re.sub(r"(?:\s*\|\s*)+$", "", line.replace("\x06", "")), shown | tree.kinds(line))
+        elif tag in ("li", "dt", "dd"):
+            item("li", mark, line, shown | tree.kinds(line))
         elif not bare:
             flush()
+            tree.group = None
+            tree.note(shown | (html_mark if "\x06" in line else frozenset()))
         elif m := _HEAD.match(line):
-            add(f"h{len(m.group(1) or m.group(3))}", "md" if m.group(1) else "wiki", m.group(2) if m.group(1) else m.group(4))
+            level = len(m.group(1) or m.group(3))
+            item(f"h{level}", "md" if m.group(1) else "wiki", m.group(2) if m.group(1) else m.group(4), tree.kinds(line))
         elif m := _TEX_HEAD.match(line):
-            add(f"h{_TEX_LEVEL[m.group(1)]}", "tex", m.group(2))
+            item(f"h{_TEX_LEVEL[m.group(1)]}", "tex", m.group(2), tree.kinds(line))
         elif _SEPARATOR.match(line) or _RULE.match(line):
             flush()
+            tree.note(tree.kinds(line))
         elif wiki and (bare.startswith("{|") or bare.startswith("|}") or bare.startswith("|-")):
             flush()
+            tree.note(tree.kinds(line))
             in_table = not bare.startswith("|}")
         elif in_table and bare[0] in "|!":
-            add("row", "wikitable", re.sub(r"[ \t]*(?:\|\||!!)[ \t]*", " | ", bare[1:]))
+            item("row", "wikitable", re.sub(r"[ \t]*(?:\|\||!!)[ \t]*", " | ", bare[1:]), tree.kinds(line))
         elif bare.startswith("|") and bare.endswith("|") and bare.count("|") > 2:
-            add("row", "table", " | ".join(c.strip() for c in bare.strip("|").split("|")))
+            item("row", "table", " | ".join(c.strip() for c in bare.strip("|").split("|")), tree.kinds(line))
         elif m := _LIST.match(line):
-            add("li", "list", m.group(2))
-        elif latex and re.fullmatch(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?|\\(?:maketitle|newpage|noindent|tableofcontents|par)", bare):
+            item("li", "list", m.group(2), tree.kinds(line))
+        elif dom.latex and _TEX_LINE.fullmatch(bare):
             flush()
+            tree.note(tree.kinds(line))
         else:
             if mark:
                 flush()
                 para_style = mark
-            para.append(re.sub(r"^[ \t]*>[ \t]?", "", line) if "markdown" in dom.kinds else line)
+            para.append(line)
     flush()
     return dom
 
 
-def render(nodes: list[Node], skip: frozenset[int] = frozenset()) -> str:
-    """Clean text: "#" before headings, "-" before list items, "|" between cells, fences around code, "$$" around formulas."""
+_HX = re.compile(r"h[1-6]")
+_TEX_LINE = re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?|\\(?:maketitle|newpage|noindent|tableofcontents|par)")
+
+
+def render(nodes: list[tuple[str, str]]) -> str:
+    """Clean text of (element, text) leaves: "#" before headings, "-" before list items, "|" between cells, fences around code, "$$" around formulas."""
     out: list[str] = []
     last = ""
-    for k, n in enumerate(nodes):
-        if k in skip:
+    for element, text in nodes:
+        if not text and element != "code":
             continue
-        if n.element[0] == "h":
-            s = "#" * int(n.element[1]) + " " + n.text
-        elif n.element == "li":
-            s = "- " + n.text
-        elif n.element == "code":
-            s = "```\n" + n.text + "\n```"
-        elif n.element == "math":
-            s = "$$" + n.text + "$$"
+        if element[0] == "h":
+            s = "#" * int(element[1]) + " " + text
+        elif element == "li":
+            s = "- " + text
+        elif element == "code":
+            s = "```\n" + text + "\n```"
+        elif element == "math":
+            s = "$$" + text + "$$"
         else:
-            s = n.text
-        tight = n.element in ("li", "row") and last == n.element
+            s = text
+        tight = element in ("li", "row") and last == element
         out.append(("\n" if tight else "\n\n" if out else "") + s)
-        last = n.element
+        last = element
     return "".join(out)
 
 
@@ -339,7 +448,7 @@ def records(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def markup_kinds(rows: DataFrame) -> DataFrame:
-    """(source_table, record_key, markup): one row for each kind of markup in the DOM of a record."""
+    """(source_table, record_key, markup): one row for each kind of markup among the nodes of a record's DOM."""
 
     def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -349,58 +458,139 @@ def markup_kinds(rows: DataFrame) -> DataFrame:
     return rows.select("source_table", "record_key", "text").mapInPandas(kinds, "source_table string, record_key string, markup string").distinct()
 
 
-def node_hashes(rows: DataFrame) -> DataFrame:
-    """(source_table, record_key, host, n, element, style, h): the nodes that the style tree may drop, without their text."""
+def clean_text(text: str | None) -> str:
+    """The clean text of one record by itself, without a style tree."""
+    return render([(n.element, n.text) for n in parse(text).clean() if n.element not in CONTAINERS])
 
-    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+_NODE = "n:int,parent:int,element:string,text:string,path:long,look:long,first:boolean,first_text:boolean,h:long"
+TREE = f"source_table string, record_key string, host string, nodes array<struct<{_NODE}>>"
+
+
+def _hash(x: str) -> int:
+    return xxhash.xxh64_intdigest(x) - (1 << 63)
+
+
+def tree_rows(dom: Dom) -> list[tuple]:
+    """The nodes of a page as the style tree sees them.
+
+    path is the way from the root, by element and style; look, of a container, the order of its
+    children, runs of one kind taken as one; first and first_text tell the first node of the page on
+    its path, and the first with its text there, so that counts of nodes are counts of pages.
+    """
+    nodes = dom.clean()
+    children: list[list[str]] = [[] for _ in nodes]
+    paths: list[str] = []
+    for n in nodes:
+        name = f"{n.element}.{n.style}"
+        paths.append(name if n.parent < 0 else f"{paths[n.parent]}/{name}" if len(paths[n.parent]) < 400 else f"{_hash(paths[n.parent])}/{name}")
+        if n.parent >= 0 and (not children[n.parent] or children[n.parent][-1] != name):
+            children[n.parent].append(name)
+    seen: set[int] = set()
+    seen_text: set[tuple[int, int]] = set()
+    out = []
+    for i, n in enumerate(nodes):
+        path = _hash(paths[i])
+        h = _hash(" ".join(n.text.lower().split())) if n.element in JUDGED else 0
+        out.append((i, n.parent, n.element, n.text, path, _hash(" ".join(children[i])), path not in seen, (path, h) not in seen_text, h))
+        seen.add(path)
+        seen_text.add((path, h))
+    return out
+
+
+#: Leaves that may be boilerplate; headings, code and formulas never are.
+JUDGED = frozenset(("p", "li", "row"))
+
+
+def site_trees(rows: DataFrame) -> DataFrame:
+    """(source_table, record_key, host, nodes): every record parsed, for the style tree and for writing."""
+
+    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split(":")[0] for x in _NODE.split(",")]
         for pdf in batches:
-            out = []
-            for s, k, host, t in zip(pdf["source_table"], pdf["record_key"], pdf["host"], pdf["text"]):
-                for n, node in enumerate(parse(t).nodes):
-                    if node.element in ("p", "li", "row"):
-                        out.append((s, k, host, n, node.element, node.style, " ".join(node.text.lower().split())))
-            yield pd.DataFrame(out, columns=["source_table", "record_key", "host", "n", "element", "style", "t"])
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
+                nodes = [[dict(zip(names, r)) for r in tree_rows(parse(t))] for t in part["text"]]
+                yield part[["source_table", "record_key", "host"]].assign(nodes=nodes)
 
-    schema = "source_table string, record_key string, host string, n int, element string, style string, t string"
-    return rows.mapInPandas(nodes, schema).withColumn("h", F.xxhash64("t")).drop("t")
+    return rows.select("source_table", "record_key", "host", "text").mapInPandas(trees, TREE)
 
 
-def unimportant(nodes: DataFrame, damping: float = 0.9, least: float = 0.2, min_pages: int = 10) -> DataFrame:
-    """(host, element, style, h): the branches of each host's style tree whose importance is below least.
+def container_importance(nodes: DataFrame, min_pages: int) -> DataFrame:
+    """(host, path, own, looks): how varied the children of each container are over its pages, by entropy to the base of their number.
 
-    Presentation importance of an element: entropy of its styles over the pages that have it, to the
-    base of their number. Content importance of a leaf met on f of m pages: 1 - log f / log m. They
-    are joined as (1 - damping) * presentation + damping * content. Hosts and leaves under min_pages
-    are never judged.
+    Containers on fewer than min_pages pages are not judged and don't come out.
     """
-    leaf = nodes.groupBy("host", "element", "style", "h").agg(F.count_distinct("record_key").alias("f"))
-    style = nodes.select("host", "element", "style", "record_key").distinct().groupBy("host", "element", "style").agg(F.count("*").alias("pages"))
-    element = style.groupBy("host", "element").agg(
-        F.sum("pages").alias("m"), F.sum(F.col("pages") * F.log("pages")).alias("plogp")
-    )
-    # -sum(p log p) / log m with p = pages / m
-    shown = (F.log("m") - F.col("plogp") / F.col("m")) / F.log("m")
-    judged = leaf.where(F.col("f") >= min_pages).join(element.where(F.col("m") >= min_pages), ["host", "element"])
-    content = 1 - F.log("f") / F.log("m")
-    return judged.where((1 - damping) * shown + damping * content < least).select("host", "element", "style", "h")
-
-
-def clean_records(rows: DataFrame) -> DataFrame:
+    look = nodes.where(F.col("element").isin(*sorted(CONTAINERS)) & F.col("first")).groupBy("host", "path", "look").agg(F.count("*").alias("p"))
+    total = look.groupBy("host", "path").agg(F.sum("p").alias("m"), F.sum(F.col("p") * F.log("p")).alias("plogp"), F.count("*").alias("looks"))
+    varied = (F.log("m") - F.col("plogp") / F.col("m")) / F.log("m")
+    return total.where(F.col("m") >= min_pages).select("host", "path", varied.alias("own"), F.col("looks").cast("int").alias("looks"))
+
+
+def leaf_importance(nodes: DataFrame, min_pages: int) -> DataFrame:
+    """(host, path, h, content): 1 - log f / log m for a text met on f of the m pages that have its path; under min_pages it isn't judged."""
+    leaves = nodes.where(F.col("element").isin(*sorted(JUDGED)) & F.col("first_text"))
+    text = leaves.groupBy("host", "path", "h").agg(F.count("*").alias("f"), F.count_if("first").alias("one"))
+    pages = text.groupBy("host", "path").agg(F.sum("one").alias("m"))
+    often = text.where(F.col("f") >= min_pages).select("host", "path", "h", "f")
+    judged = salted_join(often, pages.where(F.col("m") >= min_pages), ["host", "path"], F.col("h"))
+    return judged.select("host", "path", "h", (1 - F.log("f") / F.log("m")).alias("content"))
+
+
+def pruned(nodes: list[dict], own: dict[int, tuple[float, int]], content: dict[int, float], damping: float, least: float) -> list[tuple[str, str]]:
+    """The leaves of a page that stay.
+
+    A leaf has its content's importance; a container with k looks has (1 - damping^k) of its own and
+    damping^k of the mean of its children's. Branches below least go, unless they hold a heading, code
+    or a formula; what isn't judged has importance 1.
+    """
+    n = len(nodes)
+    imp, fixed = [1.0] * n, [x["element"] not in JUDGED and x["element"] not in CONTAINERS for x in nodes]
+    total, many = [0.0] * n, [0] * n
+    for i in range(n - 1, -1, -1):
+        if nodes[i]["element"] in CONTAINERS:
+            a, k = own.get(i, (1.0, 1))
+            inner = total[i] / many[i] if many[i] else 1.0
+            imp[i] = (1 - damping**k) * a + damping**k * inner
+        else:
+            imp[i] = content.get(i, 1.0)
+        up = nodes[i]["parent"]
+        if up >= 0:
+            total[up] += imp[i]
+            many[up] += 1
+            fixed[up] = fixed[up] or fixed[i]
+    gone = [False] * n
+    for i in range(1, n):
+        gone[i] = gone[nodes[i]["parent"]] or imp[i] < least and not fixed[i]
+    return [(x["element"], x["text"]) for i, x in enumerate(nodes) if not gone[i] and x["element"] not in CONTAINERS]
+
+
+def clean_records(rows: DataFrame, damping: float = 0.9, least: float = 0.2, min_pages: int = 10) -> DataFrame:
     """(source_table, record_key, clean): the clean text of every record, without unimportant branches.
 
-    Records that come again with equal key and text give one row; an empty text stays empty.
+    Records that come again with equal key and text give one row; an empty text stays empty. Hosts and
+    texts on fewer than min_pages pages are never judged.
     """
-    rows = rows.distinct()
-    nodes = node_hashes(rows)
-    low = unimportant(nodes)
-    dropped = nodes.join(low, ["host", "element", "style", "h"], "left_semi").groupBy("source_table", "record_key", "host").agg(
-        F.collect_set("n").alias("skip")
-    )
+    # equal records are dropped by hash, so their texts aren't shuffled
+    keyed = rows.withColumn("h", F.xxhash64("source_table", "record_key", "host", "text"))
+    trees = cut_lineage(site_trees(keyed.dropDuplicates(["h"])).withColumn("record", F.monotonically_increasing_id()))
+    nodes = trees.select("record", "host", F.explode("nodes").alias("x")).select("record", "host", "x.n", "x.element", "x.path", "x.look", "x.first", "x.first_text", "x.h")
+    low = salted_join(
+        nodes.where(F.col("element").isin(*sorted(JUDGED))), leaf_importance(nodes, min_pages), ["host", "path", "h"], F.col("record")
+    ).select("record", F.struct("n", F.col("content").alias("v"), F.lit(0).alias("k")).alias("x"))
+    own = salted_join(
+        nodes.where(F.col("element").isin(*sorted(CONTAINERS))), container_importance(nodes, min_pages), ["host", "path"], F.col("record")
+    ).select("record", F.struct("n", F.col("own").alias("v"), F.col("looks").alias("k")).alias("x"))
+    judged = low.unionByName(own).groupBy("record").agg(F.collect_list("x").alias("judged"))  # nodes of one page
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [render(parse(t).nodes, frozenset(() if s is None else map(int, s))) for t, s in zip(pdf["text"], pdf["skip"])]
+            text = []
+            for nodes, judged in zip(pdf["nodes"], pdf["judged"]):
+                known = [] if judged is None else judged
+                own = {x["n"]: (x["v"], x["k"]) for x in known if x["k"] > 0}
+                text.append(render(pruned(list(nodes), own, {x["n"]: x["v"] for x in known if x["k"] == 0}, damping, least)))
             yield pdf[["source_table", "record_key"]].assign(clean=text)
 
-    joined = rows.join(dropped, ["source_table", "record_key", "host"], "left")
-    return joined.select("source_table", "record_key", "text", "skip").mapInPandas(write, "source_table string, record_key string, clean string")
+    joined = trees.join(judged, "record", "left").select("source_table", "record_key", "nodes", "judged")
+    return joined.mapInPandas(write, "source_table string, record_key string, clean string")

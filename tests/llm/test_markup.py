@@ -1,6 +1,6 @@
 import pytest
 
-from passagery.llm.markup import clean_records, markup_kinds, parse, records, render
+from passagery.llm.markup import clean_records, clean_text, markup_kinds, parse, records
 
 
 @pytest.mark.parametrize(
@@ -28,13 +28,13 @@ def test_kinds(text, kinds):
 
 def test_structure_stays():
     md = "# Head\n\nSome **bold** text.\n\n- one\n- [ ] two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```sh\nls *\n```\n\n$$x^{2}$$"
-    assert render(parse(md).nodes) == "# Head\n\nSome bold text.\n\n- one\n- two\n\na | b\n1 | 2\n\n```\nls *\n```\n\n$$x^{2}$$"
+    assert clean_text(md) == "# Head\n\nSome bold text.\n\n- one\n- two\n\na | b\n1 | 2\n\n```\nls *\n```\n\n$$x^{2}$$"
     page = "<h2 id='a'>Head</h2><ul><li>one</li><li><b>two</b></li></ul><table><tr><td>1</td><td>2</td></tr></table><script>x</script>"
-    assert render(parse(page).nodes) == "## Head\n\n- one\n- two\n\n1 | 2"
+    assert clean_text(page) == "## Head\n\n- one\n- two\n\n1 | 2"
     tex = "\\section{Head}\n\n\\begin{itemize}\n\\item a\\_b \\emph{x \\textbf{y}}\n\\end{itemize}\nThe $k_{1}$ one.~\\cite{z}"
-    assert render(parse(tex).nodes) == "# Head\n\n- a_b x y\n\nThe $k_{1}$ one."
+    assert clean_text(tex) == "# Head\n\n- a_b x y\n\nThe $k_{1}$ one."
     wiki = "== Head ==\n\n* a\n{| class=\"t\"\n! k !! v\n|-\n| 1 || 2\n|}\n'''b''' [[x|shown]] {{note|kept}}"
-    assert render(parse(wiki).nodes) == "## Head\n\n- a\n\nk | v\n1 | 2\n\nb shown kept"
+    assert clean_text(wiki) == "## Head\n\n- a\n\nk | v\n1 | 2\n\nb shown kept"
 
 
 def test_very_long_lines_end():
@@ -56,3 +56,39 @@ def test_style_tree_drops_what_all_pages_share(spark):
     kinds = {tuple(r) for r in markup_kinds(rows).collect()}
     assert ("spans", "s1", "markdown") in kinds and ("documents_in", "3", "html") in kinds and len(kinds) == 32
     assert markup_kinds(rows.limit(0)).count() == 0 and clean_records(rows.limit(0)).count() == 0
+
+
+def test_long_formulas_and_deep_nesting():
+    assert parse("The \\(" + "x + y + " * 700 + "z\\) holds.").kinds == {"latex"}
+    assert parse("the \\( open " * 20_000).kinds == set()
+    nested = "\\emph{" * 12 + "core" + "}" * 12
+    assert clean_text(f"\\section{{A}}\n\n{nested}") == "# A\n\ncore"
+
+
+def test_tree_has_parents_and_kinds_come_from_nodes():
+    dom = parse("<div class='nav'><ul><li>one</li><li>two</li></ul></div>\n\n# Head\n\ntext with **bold**\n\n## Sub\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\nplain &amp; $k_{1}$")
+
+    def way(i):
+        return (way(dom.nodes[i].parent) if dom.nodes[i].parent > 0 else []) + [dom.nodes[i].element]
+
+    ways = {dom.nodes[i].raw.strip("\x06 "): way(i) for i in range(len(dom.nodes)) if dom.nodes[i].raw}
+    assert ways["one"] == ["block", "block", "list", "li"] and ways["a | b"] == ["section", "section", "table", "row"]
+    assert ways["text with **bold**"] == ["section", "p"] and all(n.parent < i for i, n in enumerate(dom.nodes))
+    kinds = {n.raw.strip("\x06 "): n.kinds for n in dom.nodes if n.raw}
+    assert kinds["one"] == {"html"} and kinds["text with **bold**"] == {"markdown"} and kinds["1 | 2"] == set()
+    assert next(k for r, k in kinds.items() if r.startswith("plain")) == {"html", "latex"}
+    assert dom.kinds == {"html", "markdown", "latex"}
+
+
+def test_a_whole_branch_of_boilerplate_goes(spark):
+    """A navigation block goes as one branch, with the one link that only one page has in it; a varied block of the same host stays."""
+    pages = []
+    for i in range(40):
+        nav = "<div class='nav'><ul><li>Home</li><li>Guides</li><li>Status</li>" + ("<li>Now here</li>" if i == 3 else "") + "</ul></div>"
+        own = f"<div class='main'><h1>Page {i}</h1><ul><li>step {i}</li><li>Home</li></ul><p>Text {i} of its own.</p></div>"
+        pages.append((f"d{i}", f"host/p{i}.html", nav + own))
+    docs = spark.createDataFrame(pages, "id string, file_name string, content string")
+    spans = spark.createDataFrame([], "document_id string, span_id string, heading string")
+    clean = {r["record_key"]: r["clean"] for r in clean_records(records(docs, spans)).collect()}
+    assert clean["d5"] == "# Page 5\n\n- step 5\n\nText 5 of its own."
+    assert clean["d3"] == "# Page 3\n\n- step 3\n\nText 3 of its own."
