@@ -2,8 +2,8 @@
 
 One unigram model per level is trained on a bounded sample of graded documents and of ungraded ones
 graded by a formula (Flesch-Kincaid, fitted to the grades); each document takes the level with the
-highest posterior. Scoring reads the corpus once, needs no shuffle, and ships a model of at most
-max_words words.
+highest posterior. Training picks its sample by keys and language alone and reads the texts once;
+scoring reads the texts once, needs no shuffle, and ships a model of the words of the sample.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagery.runtime import cut_lineage
+
 LEVELS = 5
 _FENCE = re.compile(r"```.*?(?:```|\Z)|<pre\b.*?(?:</pre>|\Z)|<!--.*?-->|<script\b.*?(?:</script>|\Z)", re.S | re.I)
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|\\[A-Za-z]+\*?|\]\([^()\s]*\)")
@@ -67,32 +69,44 @@ class LevelModel:
         self.log = np.log((table + alpha) / (table.sum(axis=1, keepdims=True) + alpha * max(len(kept), 1)))
         self.prior = np.log((mass + 1.0) / (mass + 1.0).sum())
 
-    def posterior(self, own: list[str]) -> np.ndarray:
-        at = [i for i in map(self.place.get, own) if i is not None]
+    def posterior(self, at: list[int]) -> np.ndarray:
+        """Of a text given as the places of its known words."""
         s = self.prior + (self.log[:, at].sum(axis=1) if at else 0)
         p = np.exp(s - s.max())
         return p / p.sum()
 
 
+def sample_keys(corpus: DataFrame, labels: DataFrame, doc_key: str, lang: str, max_labelled: int, seed_docs: int, seed_weight: float) -> list[tuple]:
+    """(key, grade or 0, weight) of the documents to learn from: the first by hash, max_labelled grades and seed_docs ungraded ones.
+
+    A document with several grades counts with each at its part of the weight; a key that stands in
+    several rows counts once, but takes as many places of the bound.
+    """
+    docs = corpus.select(F.col(doc_key).alias("d"), F.col(lang).alias("l")).where("d IS NOT NULL")
+    graded = labels.select(F.col(doc_key).alias("d"), F.col("reading_level").cast("int").alias("y")).where(f"y BETWEEN 1 AND {LEVELS}")
+    picked = docs.select("d").join(graded, "d").orderBy(F.xxhash64("d"), "d", "y").limit(max_labelled).collect()
+    times = Counter(r["d"] for r in picked)
+    known = Counter((r["d"], int(r["y"])) for r in picked)
+    seeds = docs.where("l = 'en'").select("d").orderBy(F.xxhash64(F.lit(7), "d"), "d").limit(seed_docs).collect()
+    out = [(d, y, n / times[d]) for (d, y), n in known.items()]
+    return out + [(d, 0, seed_weight) for d in dict.fromkeys(r["d"] for r in seeds) if d not in times]
+
+
 def train(
     corpus: DataFrame, labels: DataFrame, doc_key: str = "doc_id", text: str = "text", lang: str = "lang",
-    max_labelled: int = 5_000, seed_docs: int = 2_000, seed_weight: float = 0.05, max_words: int = 50_000,
+    max_labelled: int = 5_000, seed_docs: int = 2_000, seed_weight: float = 0.05,
 ) -> LevelModel:
     """Fit the models on at most max_labelled grades and seed_docs formula-graded documents, both picked by hash.
 
-    A document with several grades counts with each at its part of the weight. Grades outside 1..5
-    and null texts are left out. Without any grades the formula alone seeds the models. Words that
-    only one document of the sample uses are left out; the driver gets at most max_words words.
+    Grades outside 1..5 and null texts are left out. Without any grades the formula alone seeds the
+    models. Words that only one document of the sample uses are left out; all others are in the model.
     """
-    docs = corpus.select(F.col(doc_key).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l")).where("d IS NOT NULL AND t IS NOT NULL")
-    graded = labels.select(F.col(doc_key).alias("d"), F.col("reading_level").cast("int").alias("y")).where(f"y BETWEEN 1 AND {LEVELS}")
-    pick = docs.select("d").join(graded, "d").orderBy(F.xxhash64("d"), "d", "y").limit(max_labelled)
-    times = pick.groupBy("d").agg(F.count("*").alias("k"))
-    keys = pick.join(times, "d").groupBy("d", "y").agg((F.count("*") / F.first("k")).alias("w"))
-    seeds = docs.where("l = 'en'").select("d").distinct().orderBy(F.xxhash64(F.lit(7), "d"), "d").limit(seed_docs)
-    seeds = seeds.join(times, "d", "left_anti").select("d", F.lit(0).alias("y"), F.lit(float(seed_weight)).alias("w"))
-    # at most max_labelled + seed_docs keys, whatever the input
-    sample = docs.select("d", "t").join(F.broadcast(keys.unionByName(seeds)), "d")
+    picked = sample_keys(corpus, labels, doc_key, lang, max_labelled, seed_docs, seed_weight)
+    kind = corpus.schema[doc_key].dataType.simpleString()
+    keys = corpus.sparkSession.createDataFrame(picked, f"d {kind}, y int, w double")
+    docs = corpus.select(F.col(doc_key).alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
+    # at most max_labelled + seed_docs keys, whatever the input; their texts are read once
+    sample = cut_lineage(docs.join(F.broadcast(keys), "d"))
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -115,28 +129,39 @@ def train(
     counted = sample.mapInPandas(count, "level int, word string, n double, docs double").groupBy("word").agg(
         F.sum("docs").alias("docs"), *(F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0.0)).alias(f"n{k}") for k in range(1, LEVELS + 1))
     )
-    rows = counted.where("word = '' OR docs >= 2").orderBy(F.desc("docs"), "word").limit(max_words + 1).collect()
+    rows = counted.where("word = '' OR docs >= 2").collect()  # words of the bounded sample
     table = {r["word"]: np.array([r[f"n{k}"] for k in range(1, LEVELS + 1)]) for r in rows}
     return LevelModel({w: x for w, x in table.items() if w}, table.get("", np.zeros(LEVELS)))
 
 
-def reading_levels(corpus: DataFrame, model: LevelModel, doc_key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
-    """(doc_id, kept columns, reading_level, confidence, words): a level for every document with text.
+def reading_levels(
+    corpus: DataFrame, model: LevelModel, doc_key: str = "doc_id", text: str = "text", lang: str = "lang", only: str | None = None
+) -> DataFrame:
+    """(doc_id, lang, reading_level, confidence, words, known): a level for every document with text.
 
-    Texts without known words take the most common level, with its share as confidence; null texts
-    give no row; rows with equal keys are judged each by itself.
+    only keeps the documents of one language, before anything is scored. known is the share of a text's
+    words that the model knows: the grades are of English texts, so a text in another language has a low
+    one and its level says little. Texts without known words take the most common level, with its share
+    as confidence; null texts give no row; rows with equal keys are judged each by itself.
     """
     shared = corpus.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            own = [words(t) for t in pdf["text"]]
-            p = np.array([m.posterior(w) for w in own]).reshape(-1, LEVELS)
-            yield pdf.drop(columns="text").assign(
-                reading_level=p.argmax(axis=1).astype("int32") + 1, confidence=p.max(axis=1) if len(p) else p.sum(axis=1), words=[len(w) for w in own]
-            )
-
-    docs = corpus.select(F.col(doc_key).cast("long").alias("doc_id"), *keep, F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    extra = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInPandas(score, f"doc_id long{extra}, reading_level int, confidence double, words int")
+            level, sure, size, known = [], [], [], []
+            for t in pdf["text"]:
+                own = words(t)
+                at = [i for i in map(m.place.get, own) if i is not None]
+                p = m.posterior(at)
+                level.append(int(p.argmax()) + 1)
+                sure.append(float(p.max()))
+                size.append(len(own))
+                known.append(len(at) / len(own) if own else 0.0)
+            yield pdf[["doc_id", "lang"]].assign(reading_level=np.array(level, "int32"), confidence=sure, words=size, known=known)
+
+    docs = corpus if only is None else corpus.where(F.col(lang) == only)
+    docs = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(
+        score, "doc_id long, lang string, reading_level int, confidence double, words int, known double"
+    )
