@@ -4,7 +4,8 @@ Records and the entities they name form a bipartite graph. Labels start as recor
 round every entity takes the least label of its records, every record the least label of its
 entities, and then the label of the record its label names (so long chains shorten by halves). When
 nothing changes, the label is the group. Rounds are cut from each other by checkpoints in the shared
-folder. Minima are combined before each shuffle, so a hot entity sends one row per task.
+folder. Minima are combined before each shuffle, so a hot entity sends one row per task, and come back
+by salted joins, so the records of a hot entity or group are spread.
 
 Groups are then assigned so that each split comes close to its share of every stratum. Large groups
 are placed one by one; the many small ones are bundled by hash into a fixed number of cells, so what
@@ -19,12 +20,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagery.llm.skew import salted_join
 from passagery.runtime import cut_lineage
 
 #: What stands for "no value" in any case.
 PLACEHOLDERS = ("", "-", "n/a", "unknown")
 
 
+SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
+
+
 def tidy(c: Column) -> Column:
     """Lower case without outer blanks; placeholders become null."""
     t = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
@@ -54,29 +59,29 @@ def links(cases: DataFrame, labels: DataFrame, spans: DataFrame) -> DataFrame:
     return authors.unionByName(entities).unionByName(direct).unionByName(lookup).where("entity IS NOT NULL").distinct()
 
 
-def components(link: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(link: DataFrame) -> DataFrame:
     """(r, g): every linked record with the least record number of its group.
 
     Entities that only one record names are dropped, since they link nothing. An entity is known by
     the least record that names it: two entities with the same least record share that record and
-    so belong to one group anyway, which makes the edges fewer.
+    so belong to one group anyway, which makes the edges fewer. Labels only fall, so the rounds end.
     """
-    least = link.groupBy("kind", "entity").agg(F.min("r").alias("e"), F.max("r").alias("last")).where("e < last")
-    edges = cut_lineage(link.join(least, ["kind", "entity"]).select("r", "e").distinct())
-    labels = cut_lineage(edges.groupBy("r").agg(F.min("e").alias("e")).select("r", F.least("r", "e").alias("g")))
-    for _ in range(max_rounds):
-        by_entity = edges.join(labels, "r").groupBy("e").agg(F.min("g").alias("g"))
-        by_record = edges.join(by_entity, "e").groupBy("r").agg(F.min("g").alias("n"))
-        stepped = labels.join(by_record, "r").select("r", "g", F.least("g", "n").alias("n"))
-        target = labels.select(F.col("r").alias("n"), F.col("g").alias("h"))
-        moved = cut_lineage(
-            stepped.join(target, "n", "left").select("r", F.col("g").alias("old"), F.least("n", "h").alias("g"))
+    least = link.groupBy("kind", "entity").agg(F.min("r").alias("e"), F.max("r").alias("last")).where("e < last").drop("last")
+    edges = salted_join(link, least, ["kind", "entity"], F.col("r"))
+    # one row a record, with its entities
+    state = cut_lineage(edges.groupBy("r").agg(F.collect_set("e").alias("es")).select("r", F.least("r", F.array_min("es")).alias("g"), "es"))
+    while True:
+        long = state.select("r", "g", F.explode("es").alias("e"))
+        by_entity = long.groupBy("e").agg(F.min("g").alias("m"))
+        stepped = salted_join(long, by_entity, ["e"], F.col("r")).groupBy("r").agg(
+            F.min("g").alias("g"), F.min("m").alias("n"), F.collect_list("e").alias("es")
         )
-        changed = not moved.where("old <> g").isEmpty()
-        labels = moved.select("r", "g")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        # heads that have a lower label themselves: few, and fewer each round
+        heads = by_entity.select(F.col("m").alias("n")).distinct().join(state.select(F.col("r").alias("n"), F.col("g").alias("h")), "n").where("h < n")
+        moved = cut_lineage(salted_join(stepped, heads, ["n"], F.col("r"), "left").select("r", F.col("g").alias("old"), F.coalesce("h", "n").alias("g"), "es"))
+        state = moved.select("r", "g", "es")
+        if moved.where("old <> g").isEmpty():
+            return state.select("r", "g")
 
 
 def grouped(records: DataFrame, link: DataFrame) -> DataFrame:
@@ -93,10 +98,9 @@ def divided_cases(cases: DataFrame, labels: DataFrame, spans: DataFrame) -> Data
     rows = cases.where("case_no IS NOT NULL").select(
         F.col("case_no").cast("long").alias("r"), F.lower(F.trim("split_name")).alias("s")
     ).distinct()
-    comp = components(links(cases, labels, spans))
-    placed = rows.join(comp, "r", "left").withColumn("g", F.coalesce("g", "r"))
+    placed = grouped(rows, links(cases, labels, spans))
     split = placed.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("g")
-    return placed.join(split, "g", "left_semi").select(F.col("r").alias("case_no")).distinct()
+    return salted_join(placed, split, ["g"], F.col("r"), "left_semi").select(F.col("r").alias("case_no")).distinct()
 
 
 def assign_units(counts: np.ndarray, shares: Sequence[float]) -> np.ndarray:
@@ -132,9 +136,9 @@ def new_splits(
     Strata are the values of category; those under least_stratum of all cases are taken together,
     which bounds their number. Groups of at least 1/cells of all cases are placed singly, of which
     there are at most cells; the rest in cells by hash. A group larger than a split's share makes
-    that split too large; the report shows it.
+    that split too large; split_report shows it.
     """
-    shares = shares or {"train": 0.70, "validation": 0.15, "test": 0.15}
+    shares = shares or SHARES
     rows = cases.where("case_no IS NOT NULL").groupBy(F.col("case_no").cast("long").alias("r")).agg(
         F.min(F.coalesce(F.col("category"), F.lit("none"))).alias("category")
     )
@@ -163,7 +167,32 @@ def new_splits(
         [(n, split_names[k]) for n, k in zip(names, chosen)], "unit string, new_split string"
     )
     return (
-        placed.join(units, "g")
+        salted_join(placed, units, ["g"], F.col("r"))
         .join(F.broadcast(plan), "unit")
         .select(F.col("r").alias("case_no"), F.col("g").alias("group_no"), "new_split")
     )
+
+
+def split_report(splits: DataFrame, cases: DataFrame, shares: Mapping[str, float] | None = None) -> DataFrame:
+    """(new_split, cases, groups, share, target_share, label_deviation): one row a split, also for one that got no case.
+
+    label_deviation is the sum, over the values of category, of how far their share in the split is from
+    their share in all cases; a split without cases has none. A null category is a value of its own.
+    """
+    shares = shares or SHARES
+    whole = sum(shares.values())
+    label = cases.where("case_no IS NOT NULL").groupBy(F.col("case_no").cast("long").alias("case_no")).agg(
+        F.min(F.coalesce(F.col("category"), F.lit("none"))).alias("category")
+    )
+    by = splits.join(label, "case_no").groupBy("new_split", "category").agg(F.count("*").alias("n"))
+    total = by.groupBy("category").agg(F.sum("n").alias("all_n"))
+    sizes = splits.groupBy("new_split").agg(F.count("*").alias("cases"), F.count_distinct("group_no").alias("groups"))
+    every = sizes.agg(F.sum("cases").alias("every"))  # one row
+    cell = sizes.select("new_split", "cases").crossJoin(total).crossJoin(every).join(by, ["new_split", "category"], "left")  # splits by categories
+    off = cell.groupBy("new_split").agg(F.sum(F.abs(F.coalesce("n", F.lit(0)) / F.col("cases") - F.col("all_n") / F.col("every"))).alias("label_deviation"))
+    names = splits.sparkSession.createDataFrame([(k, v / whole) for k, v in shares.items()], "new_split string, target_share double")
+    out = names.join(sizes, "new_split", "left").join(off, "new_split", "left").crossJoin(every)
+    return out.select(
+        "new_split", F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("groups", F.lit(0)).alias("groups"),
+        F.round(F.coalesce(F.col("cases") / F.col("every"), F.lit(0.0)), 6).alias("share"), "target_share", F.round("label_deviation", 6).alias("label_deviation"),
+    )

@@ -68,6 +68,10 @@ def p5_splits(spark: SparkSession, root: str) -> DataFrame:
     return groupsplit.new_splits(*_split_tables(spark, root))
 
 
+def p5_report(spark: SparkSession, root: str) -> DataFrame:
+    return groupsplit.split_report(p5_splits(spark, root), table(spark, root, "benchmark_cases"))
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.garbled_documents(table(spark, root, "documents_in")).select("document_id").distinct()
 
@@ -106,7 +110,9 @@ def p9_levels(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    return p9_levels(spark, root).where("lang = 'en' AND reading_level = 5").select("doc_id").distinct()
+    docs = table(spark, root, "documents")
+    levels = reading.reading_levels(docs, reading.train(docs, table(spark, root, "reading_labels")), only="en")
+    return levels.where("reading_level = 5").select("doc_id").distinct()
 
 
 def p9_profile(spark: SparkSession, root: str) -> DataFrame:
@@ -125,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_report": p4_report,
         "p5_found": p5_found,
         "p5_splits": p5_splits,
+        "p5_report": p5_report,
         "p6_found": p6_found,
         "p6_restored": p6_restored,
         "p7_found": p7_found,

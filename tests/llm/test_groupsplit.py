@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from passagery.llm.groupsplit import assign_units, divided_cases, new_splits
+from passagery.llm.groupsplit import assign_units, divided_cases, new_splits, split_report
 
 CASES = "case_no long, split_name string, category string, author string, entities array<string>, r long, g string"
 LABELS = "case_no long, kind string, label_id string, document_id string, r string"
@@ -75,6 +75,9 @@ def test_new_splits_keep_groups_and_shares(spark):
     frames = [spark.createDataFrame(x, s) for x, s in ((cases, CASES), (labels, LABELS), (spans, SPANS))]
     got = {r["case_no"]: (r["group_no"], r["new_split"]) for r in new_splits(*frames).collect()}
     assert set(got) == set(range(300))
+    report = {r["new_split"]: r for r in split_report(new_splits(*frames), frames[0]).collect()}
+    assert sum(r["cases"] for r in report.values()) == 300 and report["train"]["cases"] == sum(s == "train" for _, s in got.values())
+    assert abs(report["test"]["share"] - 0.15) < 0.03 and all(0 <= r["label_deviation"] < 0.3 for r in report.values())
     by = defaultdict(set)
     for g, s in got.values():
         by[g].add(s)
@@ -89,6 +92,18 @@ def test_long_chain_and_empty(spark):
     assert divided_cases(*frames).count() == 60
     empty = [f.limit(0) for f in frames]
     assert divided_cases(*empty).count() == 0 and new_splits(*empty).count() == 0
+    assert [(r["cases"], r["share"]) for r in split_report(new_splits(*empty), empty[0]).collect()] == [(0, 0.0)] * 3
+
+
+def test_one_author_of_a_third_of_all_cases(spark):
+    """The hot author's cases come out whole, with what hangs on them by a chain of entities."""
+    rows = [(i, "train" if i % 7 else "test", "a", "Hot" if i % 3 == 0 else None, [f"k{i // 2}"], 7, "x") for i in range(600)]
+    frames = [spark.createDataFrame(x, s) for x, s in ((rows, CASES), ([], LABELS), ([], SPANS))]
+    group = brute(rows, [], [])
+    splits = defaultdict(set)
+    for c in rows:
+        splits[group[c[0]]].add(c[1])
+    assert {r["case_no"] for r in divided_cases(*frames).collect()} == {k for k, g in group.items() if len(splits[g]) > 1}
 
 
 def test_assignment_balances_strata():
