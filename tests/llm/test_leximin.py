@@ -45,10 +45,12 @@ def test_ranking_equals_brute_force(spark):
     value = lambda: rng.choice([None, float("nan"), 0.0, -1e9, 1e-12, rng.gauss(0, 1), float(rng.randint(-3, 3)), 1e300])
     rows = [(rng.choice(["q1", "q2", "q3", None]), rng.choice(["a", "b", "c", "d", "e", "f", "h", None]), value(), value(), value(), rng.choice([None, 1, 2, 3])) for _ in range(150)]
     rows += rows[:20]
-    got = {(r["q"], r["k"]): r["position"] for r in leximin_ranking(frame(spark, rows), "q", "k", S, ["t"]).collect()}
-    assert got == brute(rows)
-    first = {(r["q"], r["k"]) for r in leximin_first(frame(spark, rows), "q", "k", S, ["t"]).collect()}
-    assert first == {k for k, n in brute(rows).items() if n == 1}
+    want = brute(rows)
+    for big in (20_000, 40, 1):  # groups ranked whole, some of each, and all as big groups
+        got = [(r["q"], r["k"], r["position"]) for r in leximin_ranking(frame(spark, rows), "q", "k", S, ["t"], big_group=big).collect()]
+        assert len(got) == len(want) and {(q, k): n for q, k, n in got} == want
+        first = [(r["q"], r["k"]) for r in leximin_first(frame(spark, rows), "q", "k", S, ["t"], big_group=big).collect()]
+        assert len(first) == 3 and set(first) == {k for k, n in want.items() if n == 1}
 
 
 def test_weak_score_is_not_masked(spark):
@@ -58,7 +60,16 @@ def test_weak_score_is_not_masked(spark):
 
 def test_ties_missing_and_empty(spark):
     rows = [("q", "b", None, None, None, None), ("q", "a", float("nan"), None, None, None)]
-    got = leximin_ranking(frame(spark, rows), "q", "k", S, ["t"]).orderBy("position").collect()
-    assert [(r["k"], r["position"], r["v2"]) for r in got] == [("a", 1, 0.0), ("b", 2, 0.0)]
+    for big in (20_000, 1):
+        got = leximin_ranking(frame(spark, rows), "q", "k", S, ["t"], big_group=big).orderBy("position").collect()
+        assert [(r["k"], r["position"], r["v2"]) for r in got] == [("a", 1, 0.0), ("b", 2, 0.0)]
     assert leximin_ranking(frame(spark, []), "q", "k", S, ["t"]).count() == 0
     assert leximin_first(frame(spark, []), "q", "k", S, ["t"]).count() == 0
+
+
+def test_hot_group_with_one_value_and_near_equal_values(spark):
+    rng = random.Random(6)
+    rows = [("hot", f"k{i:04d}", 0.5 if i % 3 else None, 0.99 + rng.random() * 1e-4, float(i % 5), 1) for i in range(400)]
+    rows += [("cold", f"k{i}", rng.random(), rng.random(), rng.random(), 1) for i in range(9)]
+    got = {(r["q"], r["k"]): r["position"] for r in leximin_ranking(frame(spark, rows), "q", "k", S, ["t"], big_group=100).collect()}
+    assert got == brute(rows)
