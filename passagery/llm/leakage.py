@@ -24,11 +24,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagery.runtime import cut_lineage
+
 K1, B = 1.2, 0.75
 BLOCK = 16
 STRIDE = 20
 #: Up to so many cells the places of terms in blocks are kept as a table.
 TABLE = 4_000_000
+#: So many cells of (passage, block of items) are held at once.
+CELLS = 2_000_000
+#: A sentence of so many items is a stock sentence.
+STOCK = 3
 
 _BREAK = re.compile(r"(?<=\w)[-\u2010\u2011]\s*\n\s*(?=\w)|[\u00ad\u200b-\u200d\u2060\ufeff]")
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -150,15 +156,24 @@ class BlockMaxIndex:
         passages = passages[good]
         if not len(passages):
             return set()
+        out: set[tuple[int, int]] = set()
+        step = max(1, CELLS // self.blocks)
+        for lo in range(0, len(passages), step):  # entries stand in the order of their passages
+            a, b = np.searchsorted(owner, (lo, min(lo + step, len(passages))))
+            out |= self._search(passages[lo : lo + step] // many, owner[a:b] - lo, term[a:b])
+        return out
+
+    def _search(self, doc: np.ndarray, owner: np.ndarray, term: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) met by some passages, of which doc says whose they are, owner and term which terms they hold."""
         n = self.first[term + 1] - self.first[term]
         at = np.repeat(self.first[term] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         spot = np.repeat(owner, n) * self.blocks + self.post_block[at]
-        bounds = np.bincount(spot, self.post_max[at], len(passages) * self.blocks).reshape(len(passages), self.blocks)
+        bounds = np.bincount(spot, self.post_max[at], len(doc) * self.blocks).reshape(len(doc), self.blocks)
         out = set()
         reached = bounds >= self.block_threshold
         for b in np.nonzero(reached.any(axis=0))[0]:  # one product for all passages that need the block
             rows = np.nonzero(reached[:, b])[0]
-            row = np.full(len(passages), -1)
+            row = np.full(len(doc), -1)
             row[rows] = np.arange(len(rows))
             mine = row[owner] >= 0
             local = self._local(b, term[mine])
@@ -167,7 +182,7 @@ class BlockMaxIndex:
             bag[:, -1] = 0
             scores = bag @ self.local_impacts[b]
             for r, i in zip(*np.nonzero(scores >= self.threshold[b * BLOCK : (b + 1) * BLOCK])):
-                out.add((int(passages[rows[r]]) // many, self.order[b * BLOCK + i]))
+                out.add((int(doc[rows[r]]), self.order[b * BLOCK + i]))
         return out
 
     def _local(self, b: int, term: np.ndarray) -> np.ndarray:
@@ -194,7 +209,10 @@ class LeakIndex:
     and scores at least the impacts of i without those of the most telling words that may be missing.
     """
 
-    def __init__(self, items: list[tuple], min_run: int = 20, min_share: float = 0.75, stretch: float = 1.5, stock_items: int = 3):
+    def __init__(
+        self, items: list[tuple], min_run: int = 20, min_share: float = 0.75, stretch: float = 1.5, stock_items: int = STOCK,
+        stock: set[tuple[str, ...]] | None = None,
+    ):
         self.min_run, self.min_share, self.stretch = min_run, min_share, stretch
         shared: Counter = Counter()
         parts = []
@@ -202,7 +220,8 @@ class LeakIndex:
             own = [tuple(plain_words(s)) for s in sentences(text)]
             parts.append((key, own))
             shared.update(set(own))
-        stock = {s for s, n in shared.items() if n >= stock_items}
+        if stock is None:
+            stock = {s for s, n in shared.items() if n >= stock_items}
         self.keys, self.words = [], []
         segments: list[list[list[str]]] = []
         for key, own in parts:
@@ -240,11 +259,9 @@ class LeakIndex:
             v, counts, least = self.singles.impacts[i], Counter(self.words[i]), 0.0
             spare = len(self.words[i]) - math.ceil(min_share * len(self.words[i]))
             for w in sorted(counts, key=lambda w: -v[w] / counts[w]):
-                if counts[w] <= spare:
-                    spare -= counts[w]
-                else:
-                    spare = 0
-                    least += v[w]
+                gone = min(spare, counts[w])  # a part of the word that breaks the allowance, which bounds any choice of words
+                spare -= gone
+                least += v[w] * (1 - gone / counts[w])
             least_whole.append(least)
         self.pairs.build(least_run)
         self.singles.build(least_whole)
@@ -311,15 +328,44 @@ def leaked_items(
 ) -> DataFrame:
     """(doc_id, item_id, has_run, share): every document with every item it holds, whole or in part.
 
-    The held-out set is the small side by nature; more than max_items rows are refused, since it
-    is broadcast. Null texts and keys match nothing; rows with equal keys are merged; an empty side
-    gives no rows. Documents are read whole, whatever their length.
+    The held-out set is the small side by nature; an index holds at most max_items of its rows. More of
+    them are indexed in parts, by hash, and the corpus is read once a part; stock sentences are told over
+    all items either way. Null texts and keys match nothing; rows with equal keys are merged; an empty
+    side gives no rows. Documents are read whole, whatever their length.
     """
-    rows = held_out.select(item_key, item_text).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} held-out items; index them in parts")
-    index = LeakIndex(sorted({(int(r[0]), r[1]) for r in rows}))
-    shared = corpus.sparkSession.sparkContext.broadcast(index)
+    items = held_out.select(F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    docs = corpus.select(corpus[doc_key].cast("long").alias("doc_id"), corpus[doc_text].alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    first = items.limit(max_items + 1).collect()
+    if len(first) <= max_items:
+        return _matches(docs, LeakIndex(sorted({(r["item"], r["text"]) for r in first})))
+    parts = -(-items.count() // (max_items // 2))
+    placed = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
+    stock = cut_lineage(stock_sentences(placed))
+    out = None
+    for k in range(parts):
+        own = placed.where(F.col("part") == k).collect()  # about max_items / 2 rows
+        known = {tuple(r["sentence"].split(" ")) for r in stock.where(F.col("part") == k).select("sentence").collect()}
+        found = _matches(docs, LeakIndex(sorted({(r["item"], r["text"]) for r in own}), stock=known))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def stock_sentences(placed: DataFrame) -> DataFrame:
+    """(part, sentence): the sentences of each part of the items that at least STOCK items of any part share."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(p, i, " ".join(s)) for p, i, t in zip(pdf["part"], pdf["item"], pdf["text"]) for s in {tuple(plain_words(x)) for x in sentences(t)} if s]
+            yield pd.DataFrame(out, columns=["part", "item", "sentence"])
+
+    of = placed.select("part", "item", "text").mapInPandas(split, "part int, item long, sentence string").distinct()
+    per = of.groupBy("sentence", "part").agg(F.count("*").alias("n"))
+    shared = per.groupBy("sentence").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts")).where(F.col("n") >= STOCK)  # one entry a part
+    return shared.select(F.explode("parts").alias("part"), "sentence")
+
+
+def _matches(docs: DataFrame, index: LeakIndex) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = shared.value
@@ -336,5 +382,4 @@ def leaked_items(
                             out.append((key, ix.keys[i], run, share))
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "has_run", "share"])
 
-    docs = corpus.select(corpus[doc_key].cast("long").alias("doc_id"), corpus[doc_text].alias("text"))
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(match, SCHEMA)
+    return docs.mapInPandas(match, SCHEMA)

@@ -1,5 +1,6 @@
 import random
 
+from passagery.llm import leakage
 from passagery.llm.leakage import LeakIndex, lcs_length, leaked_items, plain_words
 
 rng = random.Random(11)
@@ -73,6 +74,14 @@ def test_no_leak_is_missed(spark):
     held = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]) for r in leaked_items(frame, held).collect()}
     assert got == want and len(want) > 60 and len(ix.keys) == 60
+    parts = {(r["doc_id"], r["item_id"]) for r in leaked_items(frame, held, max_items=25).collect()}  # several indexes
+    assert parts == want
+    known, leakage.CELLS = leakage.CELLS, 8  # passages a few at a time
+    try:
+        runs, wholes = ix.candidates([plain_words(t) for _, t in docs])
+    finally:
+        leakage.CELLS = known
+    assert (runs, wholes) == ix.candidates([plain_words(t) for _, t in docs])
 
 
 def test_stock_sentences_and_odd_rows(spark):
@@ -82,4 +91,5 @@ def test_stock_sentences_and_odd_rows(spark):
     whole = items[2][1]
     docs = spark.createDataFrame([(1, stock * 3), (2, whole), (2, whole), (3, None), (None, whole), (4, ""), (5, passage(100_000) + " " + whole.upper())], "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, held).collect()} == {(2, 2), (5, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in leaked_items(docs, held, max_items=4).collect()} == {(2, 2), (5, 2)}
     assert leaked_items(docs.limit(0), held).count() == 0 and leaked_items(docs, held.limit(0)).count() == 0
