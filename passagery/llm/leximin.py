@@ -8,8 +8,9 @@ Scale: a group may hold a third of all rows. Groups of up to BIG_GROUP rows (or
 shuffled once, whole, and ranked by windows over the group. Larger ones, of which there can't be more
 than 100,000, are found first by a count on the group alone; there values are counted per distinct value
 (map-side), then ranked inside cells of neighbouring values, and the cells of a group, whose number
-depends on the spread of its values alone, carry the offsets. Ranks come back to the items by salted
-joins, so neither a hot group nor a hot value becomes one task, and missing scores aren't joined at all.
+depends on the spread of its values alone, carry the offsets. Ranks come back to the items by the value,
+those of hot values by broadcast, so neither a hot group nor a hot value becomes one task; missing scores
+aren't joined at all.
 The cell of a value depends on the value alone, so a stage that runs again gives the same cells.
 """
 
@@ -21,10 +22,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagery.llm.skew import salted_join
+from passagery.llm.skew import HOT_ROWS, hot_above, split_join
 
-BIG_GROUP = 20_000
-_MOST_BIG = 100_000
+BIG_GROUP = HOT_ROWS
 CELLS_PER_DOUBLING = 2048
 _EXPONENTS = 1100
 
@@ -56,16 +56,15 @@ def latest_rows(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g", "i").agg(picked.alias("m")).select("g", "i", *(F.col(f"m.{s}").alias(s) for s in scores))
 
 
-def by_size(rows: DataFrame, big_group: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups that one task can hold, rows of larger ones or None if there are none)."""
+def by_size(rows: DataFrame, big_group: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows of groups that one task can hold, rows of larger ones or None if there are none, the size that parts them)."""
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    found = [r["g"] for r in sizes.where(F.col("n") > big_group).join(
-        sizes.agg((F.sum("n") / _MOST_BIG).alias("least")), F.col("n") > F.col("least")  # one row
-    ).select("g").collect()]
+    big_group = hot_above(int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), big_group)
+    found = [r["g"] for r in sizes.where(F.col("n") > big_group).collect()]
     if not found:
-        return rows, None
-    big = F.broadcast(rows.sparkSession.createDataFrame([(g,) for g in found], rows.select("g").schema))  # at most _MOST_BIG rows
-    return rows.join(big, "g", "left_anti"), rows.join(big, "g", "left_semi")
+        return rows, None, big_group
+    big = F.broadcast(rows.sparkSession.createDataFrame([(g,) for g in found], rows.select("g").schema))  # at most MOST_HOT rows
+    return rows.join(big, "g", "left_anti"), rows.join(big, "g", "left_semi"), big_group
 
 
 def _vectors_of_small(rows: DataFrame, n: int) -> DataFrame:
@@ -81,7 +80,7 @@ def _vectors_of_small(rows: DataFrame, n: int) -> DataFrame:
     return out.select("g", "i", F.array_sort(F.array(*p)).alias("v"))
 
 
-def _vectors_of_big(rows: DataFrame, n: int) -> DataFrame:
+def _vectors_of_big(rows: DataFrame, n: int, big_group: int) -> DataFrame:
     """(g, i, v) by counts of distinct values and cells; no window and no join holds a whole group or value."""
     base = latest_rows(rows)
     given = F.array_compact(F.array(*(F.when(F.col(f"s{k}").isNotNull(), F.struct(F.lit(k).alias("d"), F.col(f"s{k}").alias("v"))) for k in range(n))))
@@ -95,9 +94,9 @@ def _vectors_of_big(rows: DataFrame, n: int) -> DataFrame:
     placed = placed.join(F.broadcast(total), "g").select("g", "d", "c", (F.col("before") + missing).alias("before"), "total")  # as many rows as big groups
     inside = Window.partitionBy("g", "d", "c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.withColumn("lower", F.coalesce(F.sum("same").over(inside), F.lit(0))).join(placed, ["g", "d", "c"]).select(
-        "g", "d", "v", ((F.col("before") + F.col("lower") + (F.col("same") + 1) / F.lit(2.0)) / F.col("total")).alias("p")
+        "g", "d", "v", "same", ((F.col("before") + F.col("lower") + (F.col("same") + 1) / F.lit(2.0)) / F.col("total")).alias("p")
     )
-    told = salted_join(long.where("d >= 0"), ranks, ["g", "d", "v"], F.col("i"), salts=4)
+    told = split_join(long.where("d >= 0"), ranks, ["g", "d", "v"], "same", big_group)
     every = told.select("g", "i", "d", "p").unionByName(long.where("d < 0").select("g", "i", "d", F.lit(0.0).alias("p")))
     out = every.groupBy("g", "i").agg(*(F.max(F.when(F.col("d") == k, F.col("p"))).alias(f"p{k}") for k in range(n)))
     return out.select("g", "i", F.array_sort(F.array(*(F.coalesce(f"p{k}", F.lit(0.0)) for k in range(n)))).alias("v"))
@@ -110,8 +109,8 @@ def _vectors(df: DataFrame, group: str, item: str, scores: Sequence[str], recenc
     group, where missing scores (null or NaN) count as lower; a missing score has percentile 0.
     An empty table gives no rows; a group of one item gives ones (zeros where it lacks a score).
     """
-    small, big = by_size(_given(df, group, item, scores, recency), big_group)
-    return _vectors_of_small(small, len(scores)), None if big is None else _vectors_of_big(big, len(scores))
+    small, big, big_group = by_size(_given(df, group, item, scores, recency), big_group)
+    return _vectors_of_small(small, len(scores)), None if big is None else _vectors_of_big(big, len(scores), big_group)
 
 
 def _descending(n: int) -> list[Column]:

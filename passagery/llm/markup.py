@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagery.llm.skew import salted_join
+from passagery.llm.skew import salted_join, small_or_salted_join
 from passagery.runtime import cut_lineage
 
 KINDS = ("html", "markdown", "wiki", "latex")
@@ -575,10 +575,10 @@ def clean_records(rows: DataFrame, damping: float = 0.9, least: float = 0.2, min
     keyed = rows.withColumn("h", F.xxhash64("source_table", "record_key", "host", "text"))
     trees = cut_lineage(site_trees(keyed.dropDuplicates(["h"])).withColumn("record", F.monotonically_increasing_id()))
     nodes = trees.select("record", "host", F.explode("nodes").alias("x")).select("record", "host", "x.n", "x.element", "x.path", "x.look", "x.first", "x.first_text", "x.h")
-    low = salted_join(
+    low = small_or_salted_join(
         nodes.where(F.col("element").isin(*sorted(JUDGED))), leaf_importance(nodes, min_pages), ["host", "path", "h"], F.col("record")
     ).select("record", F.struct("n", F.col("content").alias("v"), F.lit(0).alias("k")).alias("x"))
-    own = salted_join(
+    own = small_or_salted_join(
         nodes.where(F.col("element").isin(*sorted(CONTAINERS))), container_importance(nodes, min_pages), ["host", "path"], F.col("record")
     ).select("record", F.struct("n", F.col("own").alias("v"), F.col("looks").alias("k")).alias("x"))
     judged = low.unionByName(own).groupBy("record").agg(F.collect_list("x").alias("judged"))  # nodes of one page
