@@ -4,8 +4,8 @@ Records and the entities they name form a bipartite graph. Labels start as recor
 round every entity takes the least label of its records, every record the least label of its
 entities, and then the label of the record its label names (so long chains shorten by halves). When
 nothing changes, the label is the group. Rounds are cut from each other by checkpoints in the shared
-folder. Minima are combined before each shuffle, so a hot entity sends one row per task, and come back
-by salted joins, so the records of a hot entity or group are spread.
+folder. Minima are combined before each shuffle, so a hot entity sends one row per task; what belongs to
+a hot entity or group comes back by broadcast or salted joins, so its records are never in one task.
 
 Groups are then assigned so that each split comes close to its share of every stratum. Large groups
 are placed one by one; the many small ones are bundled by hash into a fixed number of cells, so what
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagery.llm.skew import salted_join
+from passagery.llm.skew import HOT_ROWS, hot_above, small_or_salted_join, split_join
 from passagery.runtime import cut_lineage
 
 #: What stands for "no value" in any case.
@@ -59,29 +59,36 @@ def links(cases: DataFrame, labels: DataFrame, spans: DataFrame) -> DataFrame:
     return authors.unionByName(entities).unionByName(direct).unionByName(lookup).where("entity IS NOT NULL").distinct()
 
 
-def components(link: DataFrame) -> DataFrame:
+def components(link: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(r, g): every linked record with the least record number of its group.
 
     Entities that only one record names are dropped, since they link nothing. An entity is known by
     the least record that names it: two entities with the same least record share that record and
     so belong to one group anyway, which makes the edges fewer. Labels only fall, so the rounds end.
     """
-    least = link.groupBy("kind", "entity").agg(F.min("r").alias("e"), F.max("r").alias("last")).where("e < last").drop("last")
-    edges = salted_join(link, least, ["kind", "entity"], F.col("r"))
+    link = cut_lineage(link)
+    above = hot_above(link.count(), hot_rows)
+    least = link.groupBy("kind", "entity").agg(F.min("r").alias("e"), F.max("r").alias("last"), F.count("*").alias("held")).where("e < last").drop("last")
+    edges = split_join(link, least, ["kind", "entity"], "held", above)
     # one row a record, with its entities
     state = cut_lineage(edges.groupBy("r").agg(F.collect_set("e").alias("es")).select("r", F.least("r", F.array_min("es")).alias("g"), "es"))
+    hot = [r["e"] for r in state.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") > above).collect()]  # few
+    hot = state.sparkSession.createDataFrame([(e,) for e in hot], "e long") if hot else None
+    labels = state
     while True:
-        long = state.select("r", "g", F.explode("es").alias("e"))
+        long = labels.select("r", "g", F.explode("es").alias("e"))
         by_entity = long.groupBy("e").agg(F.min("g").alias("m"))
-        stepped = salted_join(long, by_entity, ["e"], F.col("r")).groupBy("r").agg(
-            F.min("g").alias("g"), F.min("m").alias("n"), F.collect_list("e").alias("es")
-        )
-        # heads that have a lower label themselves: few, and fewer each round
-        heads = by_entity.select(F.col("m").alias("n")).distinct().join(state.select(F.col("r").alias("n"), F.col("g").alias("h")), "n").where("h < n")
-        moved = cut_lineage(salted_join(stepped, heads, ["n"], F.col("r"), "left").select("r", F.col("g").alias("old"), F.coalesce("h", "n").alias("g"), "es"))
-        state = moved.select("r", "g", "es")
-        if moved.where("old <> g").isEmpty():
+        if hot is None:
+            met = long.join(by_entity, "e")
+        else:
+            met = long.join(F.broadcast(by_entity.join(F.broadcast(hot), "e")), "e").unionByName(long.join(F.broadcast(hot), "e", "left_anti").join(by_entity, "e"))
+        state = cut_lineage(met.groupBy("r").agg(F.min("g").alias("old"), F.min("m").alias("g"), F.collect_list("e").alias("es")))
+        if state.where("old <> g").isEmpty():
             return state.select("r", "g")
+        # labels whose own record has a lower label by now
+        heads = state.select(F.col("g").alias("n")).distinct().join(state.select(F.col("r").alias("n"), F.col("g").alias("h")), "n").where("h < n")
+        named = state.withColumnRenamed("g", "n")
+        labels = small_or_salted_join(named, heads, ["n"], F.col("r"), "left").select("r", F.coalesce("h", "n").alias("g"), "es")
 
 
 def grouped(records: DataFrame, link: DataFrame) -> DataFrame:
@@ -98,9 +105,9 @@ def divided_cases(cases: DataFrame, labels: DataFrame, spans: DataFrame) -> Data
     rows = cases.where("case_no IS NOT NULL").select(
         F.col("case_no").cast("long").alias("r"), F.lower(F.trim("split_name")).alias("s")
     ).distinct()
-    placed = grouped(rows, links(cases, labels, spans))
+    placed = cut_lineage(grouped(rows, links(cases, labels, spans)))
     split = placed.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("g")
-    return salted_join(placed, split, ["g"], F.col("r"), "left_semi").select(F.col("r").alias("case_no")).distinct()
+    return small_or_salted_join(placed, split, ["g"], F.col("r"), "left_semi").select(F.col("r").alias("case_no")).distinct()
 
 
 def assign_units(counts: np.ndarray, shares: Sequence[float]) -> np.ndarray:
@@ -167,7 +174,7 @@ def new_splits(
         [(n, split_names[k]) for n, k in zip(names, chosen)], "unit string, new_split string"
     )
     return (
-        salted_join(placed, units, ["g"], F.col("r"))
+        small_or_salted_join(placed, units, ["g"], F.col("r"))
         .join(F.broadcast(plan), "unit")
         .select(F.col("r").alias("case_no"), F.col("g").alias("group_no"), "new_split")
     )

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from passagery.llm.groupsplit import assign_units, divided_cases, new_splits, split_report
+from passagery.llm.groupsplit import assign_units, components, divided_cases, links, new_splits, split_report
 
 CASES = "case_no long, split_name string, category string, author string, entities array<string>, r long, g string"
 LABELS = "case_no long, kind string, label_id string, document_id string, r string"
@@ -104,6 +104,9 @@ def test_one_author_of_a_third_of_all_cases(spark):
     for c in rows:
         splits[group[c[0]]].add(c[1])
     assert {r["case_no"] for r in divided_cases(*frames).collect()} == {k for k, g in group.items() if len(splits[g]) > 1}
+    least = {g: min(c for c, x in group.items() if x == g) for g in group.values()}
+    got = [tuple(r) for r in components(links(*frames), hot_rows=100).collect()]  # the author is a hot entity
+    assert len(got) == 600 and all(g == least[group[r]] for r, g in got)
 
 
 def test_assignment_balances_strata():
