@@ -24,7 +24,6 @@ ONE_BYTE = (
     ("cp1250", "cp1252"), ("cp1252", "cp850"), ("cp1252", "cp437"), ("cp1250", "cp852"), ("cp1252", "cp852"),
     ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1251", "cp1252"), ("cp1251", "cp1250"),
 )
-MAX_LAYERS = 4
 
 #: Letters beyond ASCII that English, Polish, German and the languages they borrow from use.
 LETTERS = frozenset("ąćęłńóśźżäöüßàâæçéèêëîïôœùûáíúñãõåøýčěřšůž")
@@ -224,9 +223,7 @@ def repair(text: str | None) -> tuple[str | None, bool, str]:
             masks.append([])
             continue
         line, kept = _mask_quoted(line.replace("\x00", ""))
-        for _ in range(MAX_LAYERS):
-            if line.isascii():
-                break
+        while not line.isascii():  # a layer is undone only where the cost drops, so this ends
             cost = garbling_cost(line)
             best, how = cost, ""
             new = line

@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagery.llm.skew import small_or_salted_join
+from passagery.runtime import cut_lineage
+
 HEADING, PARAGRAPH, LINE, SENTENCE, WORD = 5, 4, 3, 2, 1
 
 _CODE = re.compile(
@@ -97,8 +100,10 @@ def split(text: str, size: int, overlap: int, fill: float = 0.5) -> list[tuple[i
     """(start, end, heading path) of the pieces of text without its outer white space.
 
     No piece is longer than size characters. Each but the last ends at the strongest boundary that
-    makes it at least fill * size (and more than the overlap) long; where there is none, at size. The
-    next begins overlap characters before that end. A text that fits is one piece; an empty one none.
+    makes it at least fill * size (and more than the overlap) long; where there is none, at the
+    strongest of a shorter piece that is longer than the overlap, and only where that is missing too, at
+    size. The next begins overlap characters before that end. A text that fits is one piece; an empty
+    one none.
     """
     lead = len(text) - len(text.lstrip())
     body = text.strip()
@@ -126,10 +131,12 @@ def split(text: str, size: int, overlap: int, fill: float = 0.5) -> list[tuple[i
     while len(body) - start > size:
         cut = start + size
         if table is not None:
-            lo = int(np.searchsorted(at, start + least))
             hi = int(np.searchsorted(at, start + size, side="right"))
-            if lo < hi:
-                cut = int(at[table.query(lo, hi)])
+            for shortest in (least, overlap + 1):
+                lo = int(np.searchsorted(at, start + shortest))
+                if lo < hi:
+                    cut = int(at[table.query(lo, hi)])
+                    break
         out.append((lead + start, lead + cut, path(start)))
         start = cut - overlap
     out.append((lead + start, lead + len(body), path(start)))
@@ -152,13 +159,23 @@ def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["document_id", "piece_no", "start", "end", "heading_path", "content"])
 
 
-def split_documents(docs: DataFrame, configs: DataFrame, default_config: str = "phase3-base") -> DataFrame:
+def _once(own: DataFrame) -> DataFrame:
+    """own without repeated rows; only rows whose hash comes again are shuffled with their text."""
+    keyed = own.withColumn("h", F.xxhash64(*own.columns))
+    again = cut_lineage(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    single = small_or_salted_join(keyed, again, ["h"], F.col("document_id"), "left_anti")
+    repeated = small_or_salted_join(keyed, again, ["h"], F.col("document_id"), "left_semi")
+    return single.drop("h").unionByName(repeated.drop("h").distinct())
+
+
+def split_documents(docs: DataFrame, configs: DataFrame, default_config: str = "phase3-base", once: bool = False) -> DataFrame:
     """(document_id, piece_no, start, end, heading_path, content): the pieces of every document row.
 
     content is the document's text from start to end, counted in characters. A null configuration
     means default_config; an unknown one, or one whose chunk_size is null or below 1, sets no limit.
     A null overlap is 0, and one of at least chunk_size is cut to chunk_size - 1. Null contents give
-    no piece. A row that comes again with the same id, content and configuration gives equal pieces.
+    no piece. A row that comes again with the same id, content and configuration gives equal pieces, or
+    with once is cut once.
     """
     limits = configs.where("config_name IS NOT NULL").groupBy("config_name").agg(
         F.max(F.struct("chunk_size", "chunk_overlap")).alias("c")
@@ -167,6 +184,8 @@ def split_documents(docs: DataFrame, configs: DataFrame, default_config: str = "
         F.col("id").cast("string").alias("document_id"), F.col("content"),
         F.coalesce(F.col("config_name"), F.lit(default_config)).alias("config_name"),
     ).where("content IS NOT NULL")
+    if once:
+        own = _once(own)
     sized = own.join(limits, "config_name", "left").select(
         "document_id", "content", F.coalesce("c.chunk_size", F.lit(0)).alias("size"), F.coalesce("c.chunk_overlap", F.lit(0)).alias("overlap")
     )

@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
-    return pieces.split_documents(table(spark, root, "documents_in"), table(spark, root, "phase5_configs")).distinct()
+    return pieces.split_documents(table(spark, root, "documents_in"), table(spark, root, "phase5_configs"), once=True)
 
 
 def _records(spark: SparkSession, root: str) -> DataFrame:

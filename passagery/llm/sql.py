@@ -33,9 +33,37 @@ ranked AS (
   FROM vec)
 """
 
+_PLAIN = "lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g'))"
+_PATH = _PLAIN.format("replace({}, '\\', '/')")
+
+_GROUPS = f"""
+WITH RECURSIVE c AS (
+  SELECT DISTINCT case_no AS r, lower(trim(split_name)) AS s, author, entities FROM benchmark_cases WHERE case_no IS NOT NULL),
+l AS (
+  SELECT case_no AS r, label_id, {_PATH.format("document_id")} AS d FROM case_labels WHERE case_no IS NOT NULL),
+own AS (
+  SELECT r, label_id, CASE WHEN d NOT IN ('', '-', 'n/a', 'unknown') THEN d END AS d FROM l),
+known AS (
+  SELECT span_id, min(d) AS d FROM (SELECT span_id, {_PATH.format("document_id")} AS d FROM spans WHERE span_id IS NOT NULL)
+  WHERE d NOT IN ('', '-', 'n/a', 'unknown') GROUP BY 1),
+named AS (
+  SELECT r, 'a' AS kind, {_PLAIN.format("author")} AS t FROM c
+  UNION ALL SELECT r, 'e', {_PLAIN.format("u.x")} FROM c, unnest(entities) AS u(x)
+  UNION ALL SELECT r, 'd', d FROM own WHERE d IS NOT NULL
+  UNION ALL SELECT own.r, 'd', known.d FROM own JOIN known ON own.label_id = known.span_id WHERE own.d IS NULL),
+link AS (SELECT DISTINCT r, kind || t AS k FROM named WHERE t NOT IN ('', '-', 'n/a', 'unknown')),
+reach(r, x) AS (
+  SELECT DISTINCT r, r FROM link
+  UNION SELECT reach.r, b.r FROM reach JOIN link a ON reach.x = a.r JOIN link b ON a.k = b.k),
+grp AS (SELECT r, min(x) AS g FROM reach GROUP BY 1),
+placed AS (SELECT DISTINCT c.r, c.s, coalesce(grp.g, c.r) AS g FROM c LEFT JOIN grp ON c.r = grp.r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _GROUPS + """SELECT DISTINCT r AS case_no FROM placed
+            WHERE g IN (SELECT g FROM placed GROUP BY g HAVING count(DISTINCT s) > 1)""",
         "p2_found": """SELECT DISTINCT d.id AS document_id FROM documents_in d
             JOIN phase5_configs c ON c.config_name = coalesce(d.config_name, 'phase3-base')
             WHERE length(regexp_replace(d.content, '^\\s+|\\s+$', '', 'g')) > c.chunk_size""",

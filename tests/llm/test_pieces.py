@@ -37,6 +37,11 @@ def test_cuts_at_the_strongest_boundary():
     assert got[0][2] == "One" and got[-1][2] == "One > Two"
 
 
+def test_a_word_stays_whole_where_a_shorter_piece_ends_before_it():
+    text = "ab " + "x" * 30 + " tail of words that goes on"
+    assert [text[a:b] for a, b, _ in split(text, 32, 0)][0] == "ab "
+
+
 def test_heading_in_code_is_no_heading():
     text = "# A\n\n```\n# not one\n```\n\n" + "x " * 100
     assert {p for _, _, p in split(text, 60, 0)} == {"A"}
@@ -60,6 +65,8 @@ def test_documents(spark):
     by = {}
     for r in got.distinct().collect():
         by.setdefault(r["document_id"], []).append(r)
+    once = split_documents(docs, configs, once=True).collect()
+    assert len(once) == len(set(once)) == sum(map(len, by.values()))
     assert "null" not in by and "empty" not in by
     assert [(r["start"], r["end"]) for r in by["fits"]] == [(1, 6)]
     assert len(by["unknown"]) == len(by["nolimit"]) == len(by["codepoints"]) == 1
