@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, IDF, CountVectorizer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,20 +51,26 @@ def clusters(df: DataFrame, vector: str, k: int, seed: int = 1729) -> DataFrame:
     return model.transform(v).drop("_v")
 
 
-def cluster_terms(df: DataFrame, text: str, cluster: str = "cluster", top: int = 3, vocabulary: int = 5000) -> DataFrame:
-    """(cluster, terms): the words with the greatest mean TF-IDF in each cluster."""
-    t = df.withColumn("_t", word_tokens(F.col(text)))
-    counter = CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=vocabulary, minDF=2.0).fit(t)
-    counted = counter.transform(t)
-    scored = IDF(inputCol="_c", outputCol="_w").fit(counted).transform(counted)
-    words = F.array(*map(F.lit, counter.vocabulary)) if counter.vocabulary else F.array().cast("array<string>")
-    long = scored.select(cluster, F.posexplode(vector_to_array("_w")).alias("i", "w")).where("w > 0")
-    total = df.groupBy(cluster).agg(F.count("*").alias("docs"))
-    mean = long.groupBy(cluster, "i").agg(F.sum("w").alias("w")).join(total, cluster).withColumn("mean", F.col("w") / F.col("docs"))
-    place = F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("mean"), "i"))
-    best = mean.withColumn("place", place).where(F.col("place") <= top)
-    named = best.groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("place", "i"))).alias("own"))  # at most top
-    return named.select(cluster, F.array_join(F.transform("own", lambda s: F.element_at(words, s["i"] + 1)), " / ").alias("terms"))
+def cluster_terms(df: DataFrame, text: str, cluster: str = "cluster", top: int = 3, least_docs: int = 2) -> DataFrame:
+    """(cluster, terms): the words with the greatest mean TF-IDF in each cluster, ties by the word.
+
+    Words of fewer than least_docs texts are left out. The mean over a cluster is the sum of a word's
+    counts there times its idf, so texts meet no vocabulary: everything is counted by (cluster, word).
+    """
+    tok = df.select(F.col(cluster).alias("_k"), F.posexplode(word_tokens(F.col(text))).alias("_p", "_w"), F.monotonically_increasing_id().alias("_d"))
+    by = tok.groupBy("_k", "_d", "_w").agg(F.count("*").alias("tf")).groupBy("_k", "_w").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    sizes = df.groupBy(F.col(cluster).alias("_k")).agg(F.count("*").alias("docs"))
+    total = sizes.agg(F.sum("docs").alias("total"))  # one row
+    idf = by.groupBy("_w").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs).crossJoin(total).select("_w", F.log((F.col("total") + 1) / (F.col("df") + 1.0)).alias("idf"))
+    mean = by.join(idf, "_w").join(sizes, "_k").withColumn("mean", F.round(F.col("tf") * F.col("idf") / F.col("docs"), 9)).where("mean > 0")
+    best = mean.withColumn("place", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("mean"), "_w"))).where(F.col("place") <= top)
+    named = best.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("place", "_w"))).alias("own"))  # at most top
+    return named.select(F.col("_k").alias(cluster), F.array_join(F.transform("own", lambda s: s["_w"]), " / ").alias("terms"))
+
+
+def top_trials(results: DataFrame, score: str, name: str, n: int = 10) -> DataFrame:
+    """The n best trials of a sweep, ties by name."""
+    return results.orderBy(F.desc(score), name).limit(n)
 
 
 def project(df: DataFrame, vector: str, dims: int = 2) -> DataFrame:

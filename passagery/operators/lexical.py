@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagery.operators import blocked
+from passagery.runtime import cut_lineage
 
 
 def postings(corpus: DataFrame, key: str, tokens: Column, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -81,10 +82,11 @@ def term_weights(corpus: DataFrame, tokens: Column, stats: DataFrame) -> DataFra
 
 
 def _search(queries: DataFrame, qkey: str, qtokens: Column, corpus: DataFrame, key: str, tokens: Column, settings: list[tuple[float, float]], k: int) -> DataFrame:
-    own = corpus.select(F.col(key).alias("key"), tokens.alias("t0")).where("key IS NOT NULL")
+    own = cut_lineage(corpus.select(F.col(key).alias("key"), tokens.alias("t0")).where("key IS NOT NULL"))  # tokens are made once
     stats = corpus_stats(own, F.col("t0"))
     idf = term_weights(own, F.col("t0"), stats)
     terms = query_terms(queries, qkey, qtokens).join(idf, "term").select("qid", F.lit("t").alias("field"), "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    terms = cut_lineage(terms)
     mean = stats.collect()[0]["avgdl"] or 0.0
     out = None
     for rows in blocked.query_blocks(terms):
@@ -113,10 +115,11 @@ def corpus_scaled(
     queries: DataFrame, qkey: str, qtokens: Column, corpus: DataFrame, key: str, tokens: Column, k: int, k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """(qid, rank, key, score, norm): the best k, with norm min-max scaled over the whole corpus, where passages without a hit score 0."""
-    own = corpus.select(F.col(key).alias("key"), tokens.alias("t0")).where("key IS NOT NULL")
+    own = cut_lineage(corpus.select(F.col(key).alias("key"), tokens.alias("t0")).where("key IS NOT NULL"))  # tokens are made once
     stats = corpus_stats(own, F.col("t0"))
     idf = term_weights(own, F.col("t0"), stats)
     terms = query_terms(queries, qkey, qtokens).join(idf, "term").select("qid", F.lit("t").alias("field"), "term", (F.col("qtf") * F.col("idf")).alias("w"))
+    terms = cut_lineage(terms)
     one = stats.collect()[0]
     tops, ranges = None, None
     for rows in blocked.query_blocks(terms):
@@ -139,13 +142,17 @@ def field_bm25(
     the field's whole weight, which orders nothing and is left out.
     """
     names = list(weights)
+    none = F.array().cast("array<string>")
     long = fields.select("key", "field", tokens.alias("t")).where(F.col("field").isin(*names) & F.col("key").isNotNull())
+    by_key = long.groupBy("key").agg(*(F.max(F.when(F.col("field") == n, F.col("t"))).alias(f"t{i}") for i, n in enumerate(names)))
+    held = cut_lineage(by_key)  # tokens are made once
+    long = held.select("key", F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"t{i}").alias("t")) for i, n in enumerate(names)))).alias("f"))
+    long = long.select("key", "f.field", "f.t").where("t IS NOT NULL")
     stats = corpus_stats(long, F.col("t"), ("field",))
     terms_of = long.select("field", F.explode(F.array_distinct("t")).alias("term"))
     idf = _idf(terms_of.groupBy("field", "term").agg(F.count("*").alias("df")), stats, ("field",))
-    terms = query_terms(queries, qkey, qtokens).join(idf, "term").select("qid", "field", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    none = F.array().cast("array<string>")
-    wide = long.groupBy("key").agg(*(F.coalesce(F.max(F.when(F.col("field") == n, F.col("t"))), none).alias(f"t{i}") for i, n in enumerate(names)))
+    terms = cut_lineage(query_terms(queries, qkey, qtokens).join(idf, "term").select("qid", "field", "term", (F.col("qtf") * F.col("idf")).alias("w")))
+    wide = held.select("key", *(F.coalesce(f"t{i}", none).alias(f"t{i}") for i in range(len(names))))
     per = {r["field"]: r for r in stats.collect()}  # one row a field
     mean = {n: (per[n]["avgdl"] or 0.0) if n in per else 0.0 for n in names}
     out = None

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagery.functions import text as T
+from passagery.operators.protocol import Unavailable
 
 
-class BackendUnavailable(RuntimeError):
+class BackendUnavailable(Unavailable):
     """A model that isn't installed was asked for."""
 
 
@@ -58,8 +59,8 @@ def _select(pdf: pd.DataFrame, top_k: int, balance: float) -> list[int]:
     return picked
 
 
-def diversify(results: DataFrame, top_k: int, balance: float = 0.7, depth: int = 100) -> DataFrame:
-    """(qid, place, key, score): greedy maximal marginal relevance over the first `depth` results of each query.
+def diversify(results: DataFrame, top_k: int, balance: float = 0.7, depth: int | None = None) -> DataFrame:
+    """(qid, place, key, score): greedy maximal marginal relevance over the results of each query, or the first `depth` of them.
 
     The first result stays first. Each further one maximises balance * relevance (min-max scaled)
     less (1 - balance) * its greatest token overlap with what is picked; ties to the better rank.
@@ -71,13 +72,15 @@ def diversify(results: DataFrame, top_k: int, balance: float = 0.7, depth: int =
         own = pdf.loc[_select(pdf, top_k, balance), ["qid", "key", "score"]]
         return own.assign(place=np.arange(1, len(own) + 1, dtype="int32"))[["qid", "place", "key", "score"]]
 
-    cut = results.where(F.col("rank") <= max(depth, top_k)).select("qid", "rank", "key", "score", T.diversity_tokens(F.col("content")).alias("tokens"))
+    cut = results if depth is None else results.where(F.col("rank") <= max(depth, top_k))
+    cut = cut.select("qid", "rank", "key", "score", T.diversity_tokens(F.col("content")).alias("tokens"))
     kind = dict(results.dtypes)
-    return cut.groupBy("qid").applyInPandas(group, f"qid {kind['qid']}, place int, key {kind['key']}, score double")  # at most depth rows a group
+    return cut.groupBy("qid").applyInPandas(group, f"qid {kind['qid']}, place int, key {kind['key']}, score double")  # one query's results
 
 
+#: The names of the ranking features, in their order.
 FEATURES = (
-    "dense_score", "dense_rank", "sparse_score", "sparse_rank", "late_score", "late_rank", "reranker_score", "reranker_rank", "stream_count",
+    "dense_score", "dense_rank", "sparse_score", "sparse_rank", "late_interaction_score", "late_interaction_rank", "reranker_score", "reranker_rank", "stream_count",
     "rank_agreement", "exact_token_overlap", "query_token_count", "chunk_token_count", "identifier_signal", "qwen_score", "qwen_rank", "bge_score",
     "bge_rank", "e5_score", "e5_rank", "bm25_score", "bm25_rank", "title_lexical_overlap", "heading_lexical_overlap", "stream_presence",
     "section_depth", "source_char_length", "identifier_overlap",
@@ -97,7 +100,7 @@ def features(candidates: DataFrame, query: str = "text", content: str = "content
         lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*$") & (t.rlike("[-_]") | ((F.upper(t) == t) & t.rlike("[A-Z]"))),
     )
     ids = lambda col: F.array_distinct(F.transform(marked(col), F.lower))
-    ranks = F.array_compact(F.array(*(F.col(r).cast("double") if r in have else F.lit(None).cast("double") for r in ("dense_rank", "sparse_rank", "late_rank", "reranker_rank"))))
+    ranks = F.array_compact(F.array(*(F.col(r).cast("double") if r in have else F.lit(None).cast("double") for r in ("dense_rank", "sparse_rank", "late_interaction_rank", "reranker_rank"))))
     derived = {
         "rank_agreement": F.when(F.size(ranks) > 0, 1.0 / (1.0 + F.array_max(ranks) - F.array_min(ranks))).otherwise(F.lit(0.0)),
         "exact_token_overlap": share(c, q), "query_token_count": F.size(q).cast("double"), "chunk_token_count": F.size(c).cast("double"),
@@ -172,3 +175,68 @@ def reorder(results: DataFrame, predictions: DataFrame) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("prediction").desc_nulls_last(), "rank")
     return results.join(predictions.select("qid", "key", "prediction"), ["qid", "key"], "left").withColumn("place", F.row_number().over(w))
 
+
+
+def ltr_examples(candidates: DataFrame, earned: DataFrame) -> DataFrame:
+    """candidates (qid, key, rank, ...) with their features and gain; a candidate that earned nothing has gain 0. earned: (qid, rank, gain)."""
+    gain = earned.groupBy("qid", "rank").agg(F.max("gain").alias("gain"))
+    return features(candidates).join(gain, ["qid", "rank"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+
+
+def predicted_metrics(rows: DataFrame, k: int) -> DataFrame:
+    """(qid, recall, precision, mrr, ndcg) of rows (qid, key, gain, prediction) in the order of their predictions, ties by key.
+
+    The ideal order is that of all rows of the query; a query without a gain counts 0.
+    """
+    by = Window.partitionBy("qid")
+    r = rows.select("qid", "key", F.coalesce("gain", F.lit(0.0)).alias("gain"), "prediction").withColumn(
+        "place", F.row_number().over(by.orderBy(F.col("prediction").desc_nulls_last(), "key"))
+    ).withColumn("ideal", F.row_number().over(by.orderBy(F.col("gain").desc(), "key")))
+    worth = lambda at: F.when(F.col(at) <= k, (F.pow(F.lit(2.0), "gain") - 1) / F.log2(F.col(at) + 1.0)).otherwise(0.0)
+    hit = (F.col("gain") > 0) & (F.col("place") <= k)
+    m = r.groupBy("qid").agg(
+        F.sum(worth("place")).alias("dcg"), F.sum(worth("ideal")).alias("idcg"), F.count_if(hit).alias("hits"),
+        F.count_if(F.col("gain") > 0).alias("relevant"), F.min(F.when(hit, F.col("place"))).alias("first"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return m.select(
+        "qid", zero(F.try_divide("hits", "relevant")).alias("recall"), (F.col("hits") / F.lit(float(k))).alias("precision"),
+        zero(1.0 / F.col("first")).alias("mrr"), zero(F.try_divide("dcg", "idcg")).alias("ndcg"),
+    )
+
+
+def cross_validate(rows: DataFrame, make: Callable[[], PairwiseRanker | ForestRanker], k: int, fold: str = "fold") -> DataFrame:
+    """(fold, qid, recall, precision, mrr, ndcg): each fold ranked by a ranker that learnt from the other folds.
+
+    rows: (qid, key, gain, fold, features...), whole queries to a fold. The driver goes through the folds,
+    which are few; learning and ranking are distributed.
+    """
+    folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
+    if len(folds) < 2:
+        raise ValueError("at least two folds are needed")
+    out = None
+    for f in folds:
+        ranker = make().fit(rows.where(F.col(fold) != f))
+        part = predicted_metrics(ranker.predict(rows.where(F.col(fold) == f)), k).select(F.lit(f).alias(fold), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mean_metrics(metrics: DataFrame) -> DataFrame:
+    """One row: the means, to four digits, over all queries."""
+    return metrics.agg(*(F.coalesce(F.round(F.avg(m), 4), F.lit(0.0)).alias(m) for m in ("recall", "precision", "mrr", "ndcg")))
+
+
+def native_pool(dense: DataFrame, sparse: DataFrame, every: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(qid, key, score, rank): the candidates of both streams, each once, scored by a native backend in place of the dense stream.
+
+    dense, sparse: (qid, key, rank); a query without candidates takes all of every (qid, key). score adds
+    a column score, which is negated to a distance: the backend's best comes first when distances are
+    inverted. Ties go to the earlier candidate, dense before sparse.
+    """
+    part = lambda df, n: df.select("qid", "key", F.struct(F.lit(n).alias("s"), F.col("rank").cast("long").alias("r")).alias("at"))
+    pool = part(dense, 0).unionByName(part(sparse, 1)).groupBy("qid", "key").agg(F.min("at").alias("at"))
+    rest = every.join(pool.select("qid").distinct(), "qid", "left_anti").select("qid", "key", F.struct(F.lit(2).alias("s"), F.lit(0).cast("long").alias("r")).alias("at"))
+    scored = score(pool.unionByName(rest)).withColumn("distance", -F.col("score"))
+    w = Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), "at", "key")
+    return scored.withColumn("rank", F.row_number().over(w)).select("qid", "key", "score", "rank")
