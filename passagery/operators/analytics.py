@@ -57,8 +57,10 @@ def cluster_terms(df: DataFrame, text: str, cluster: str = "cluster", top: int =
     Words of fewer than least_docs texts are left out. The mean over a cluster is the sum of a word's
     counts there times its idf, so texts meet no vocabulary: everything is counted by (cluster, word).
     """
-    tok = df.select(F.col(cluster).alias("_k"), F.posexplode(word_tokens(F.col(text))).alias("_p", "_w"), F.monotonically_increasing_id().alias("_d"))
-    by = tok.groupBy("_k", "_d", "_w").agg(F.count("*").alias("tf")).groupBy("_k", "_w").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    tok = df.select(F.col(cluster).alias("_k"), word_tokens(F.col(text)).alias("_t"))
+    whole = tok.select("_k", F.explode("_t").alias("_w")).groupBy("_k", "_w").agg(F.count("*").alias("tf"))
+    texts = tok.select("_k", F.explode(F.array_distinct("_t")).alias("_w")).groupBy("_k", "_w").agg(F.count("*").alias("df"))
+    by = whole.join(texts, ["_k", "_w"])
     sizes = df.groupBy(F.col(cluster).alias("_k")).agg(F.count("*").alias("docs"))
     total = sizes.agg(F.sum("docs").alias("total"))  # one row
     idf = by.groupBy("_w").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs).crossJoin(total).select("_w", F.log((F.col("total") + 1) / (F.col("df") + 1.0)).alias("idf"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagery.functions import signals, text, vectors
@@ -29,29 +31,51 @@ def heading_spans(spark: SparkSession, root: str) -> DataFrame:
     return chunking.heading_spans(markdown)
 
 
-@register
-def char_chunks(spark: SparkSession, root: str) -> DataFrame:
-    return chunking.chunk_documents(latest_documents(spark, root), "character", 1000, 200)
+def _cut(spark: SparkSession, root: str, strategy: str, size: int, overlap: int = 0) -> DataFrame:
+    """Pieces of the latest documents beside the documents' texts."""
+    docs = latest_documents(spark, root)
+    return chunking.chunk_documents(docs, strategy, size, overlap).join(docs.select(F.col("id").alias("document_id"), F.col("content").alias("whole")), "document_id")
+
+
+def _within(pieces: DataFrame, size: int) -> DataFrame:
+    """(document_id, fits, inside): are a document's chunks no longer than size, and their intervals inside its text?"""
+    length = F.col("source_char_end") - F.col("source_char_start")
+    inside = (F.col("source_char_start") >= 0) & (length > 0) & (F.col("source_char_end") <= F.length("whole"))
+    return pieces.groupBy("document_id").agg(F.bool_and(length <= size).alias("fits"), F.bool_and(F.coalesce(inside, F.lit(False))).alias("inside"))
+
+
+def _extent(pieces: DataFrame, exact: Callable[[Column], Column]) -> DataFrame:
+    """(document_id, first, last, exact): the interval that a document's chunks cover, and whether each holds its interval's text."""
+    own = F.substring(F.col("whole"), F.col("source_char_start") + 1, F.col("source_char_end") - F.col("source_char_start"))
+    return pieces.groupBy("document_id").agg(
+        F.min("source_char_start").cast("long").alias("first"), F.max("source_char_end").cast("long").alias("last"), F.bool_and(exact(own)).alias("exact")
+    )
 
 
 @register
-def paragraph_chunks(spark: SparkSession, root: str) -> DataFrame:
-    return chunking.chunk_documents(latest_documents(spark, root), "paragraph", 800)
+def char_chunks(spark: SparkSession, root: str) -> DataFrame:
+    return _within(_cut(spark, root, "character", 1000, 200), 1000)
 
 
 @register
 def heading_chunks(spark: SparkSession, root: str) -> DataFrame:
-    return chunking.chunk_documents(latest_documents(spark, root), "heading", 800)
+    return _within(_cut(spark, root, "heading", 800), 800)
 
 
 @register
 def section_chunks(spark: SparkSession, root: str) -> DataFrame:
-    return chunking.chunk_documents(latest_documents(spark, root), "section", 1000)
+    return _within(_cut(spark, root, "section", 1000), 1000)
+
+
+@register
+def paragraph_chunks(spark: SparkSession, root: str) -> DataFrame:
+    return _extent(_cut(spark, root, "paragraph", 800), lambda own: F.col("content") == own)
 
 
 @register
 def heading_context_chunks(spark: SparkSession, root: str) -> DataFrame:
-    return chunking.chunk_documents(latest_documents(spark, root), "heading_context", 800)
+    """The interval's text is the end of a chunk, behind its context."""
+    return _extent(_cut(spark, root, "heading_context", 800), lambda own: F.endswith(F.col("content"), F.regexp_replace(own, r"(?U)\s+$", "")))
 
 
 # -- feedback -----------------------------------------------------------------------------------
@@ -107,16 +131,14 @@ def context_format(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def mmr_select(spark: SparkSession, root: str) -> DataFrame:
-    return rerank.diversify(_results(spark, root), 5, 0.7)
+    return rerank.diversify(_results(spark, root, 20), 5, 0.7).select("qid", F.col("place").cast("long").alias("place"), "key", r6("score").alias("score"))
 
 
 @register
 def ltr_features(spark: SparkSession, root: str) -> DataFrame:
-    r = _results(spark, root).withColumnRenamed("score", "bm25_score").withColumnRenamed("rank", "bm25_rank")
+    r = _results(spark, root).withColumns({"bm25_score": F.col("score"), "bm25_rank": F.col("rank"), "sparse_score": F.col("score"), "sparse_rank": F.col("rank"), "stream_count": F.lit(1)})
     f = rerank.features(r)
-    shown = ("exact_token_overlap", "query_token_count", "chunk_token_count", "identifier_signal", "title_lexical_overlap", "heading_lexical_overlap",
-             "section_depth", "source_char_length", "identifier_overlap", "bm25_rank")
-    return f.select("qid", "key", *(r6(c).alias(c) for c in shown))
+    return f.select("qid", "key", *(r6(c).alias(c) for c in rerank.FEATURES))
 
 
 @register
@@ -130,7 +152,8 @@ def pairwise_ltr(spark: SparkSession, root: str) -> DataFrame:
     gold = streams(spark, root, "final").select("qid", "key", F.when(F.col("rank") <= 3, 2.0).when(F.col("rank") <= 10, 1.0).otherwise(0.0).alias("gain"))
     every = latest_candidates(spark, root).select("qid", "key")
     rows = cut_lineage(every.join(s, ["qid", "key"], "left").join(gold, ["qid", "key"], "left"))
-    columns = ("dense_score", "dense_rank", "sparse_score", "sparse_rank", "late_score", "late_rank", "stream_count")
+    rows = rows.withColumnsRenamed({"late_score": "late_interaction_score", "late_rank": "late_interaction_rank"})
+    columns = ("dense_score", "dense_rank", "sparse_score", "sparse_rank", "late_interaction_score", "late_interaction_rank", "stream_count")
     ranker = rerank.PairwiseRanker(columns).fit(rows.where("gain IS NOT NULL"))
     return lexical.top_k(ranker.predict(rows).withColumn("score", F.col("prediction")), K, positive=False).select("qid", "rank", "key", r6("score").alias("score"))
 
@@ -147,38 +170,67 @@ def rank_agreement(spark: SparkSession, root: str) -> DataFrame:
 
 
 def eval_cases(spark: SparkSession, root: str) -> DataFrame:
-    """(case, split, category, q): the dev and test cases, each once."""
+    """(case, split, category, q): the dev and test cases, and each heading as a known item to be found, each once."""
     c = table(spark, root, "benchmark_cases").where("split_name IN ('dev', 'test') AND case_no IS NOT NULL AND question IS NOT NULL")
-    return c.select(F.col("case_no").alias("case"), F.col("split_name").alias("split"), "category", F.col("question").alias("q")).distinct()
+    c = c.select(F.concat(F.lit("c"), "case_no").alias("case"), F.col("split_name").alias("split"), "category", F.col("question").alias("q"))
+    s = table(spark, root, "spans").where("span_id IS NOT NULL AND heading IS NOT NULL")
+    return c.unionByName(s.select(F.concat(F.lit("s"), "span_id").alias("case"), F.lit("known").alias("split"), F.lit("known_item").alias("category"), F.col("heading").alias("q"))).distinct()
 
 
 def eval_results(spark: SparkSession, root: str, k: int = K) -> DataFrame:
-    """(case, rank, key, doc, source, start, end): BM25 over the chunks for each evaluation case."""
+    """(case, rank, key, id, docs, sources, aliases, start, end): BM25 over the chunks for each evaluation case."""
     c = corpus(spark, root)
     top = lexical.bm25_topk(eval_cases(spark, root), "case", _word("q"), c, "key", _word("content"), k)
-    places = c.select("key", text.normalise_source(F.col("file_name")).alias("doc"), F.col("source_char_start").alias("start"), F.col("source_char_end").alias("end"), "chunk_id")
-    return top.join(places, "key").select(F.col("qid").alias("case"), "rank", "key", "doc", F.col("doc").alias("source"), "start", "end", "chunk_id")
+    name = [F.col("chunk_id"), F.col("file_name"), F.col("file_path"), F.col("chunk_index")]
+    paths = F.array(text.normalise_source(F.col("file_name")), text.normalise_source(F.col("file_path")))
+    places = c.select(
+        "key", evaluation.canonical_id(*name).alias("id"), evaluation.chunk_aliases(*name).alias("aliases"), paths.alias("docs"),
+        F.col("source_char_start").alias("start"), F.col("source_char_end").alias("end"),
+    )
+    return top.join(places, "key").select(F.col("qid").alias("case"), "rank", "key", "id", "docs", F.col("docs").alias("sources"), F.col("docs")[0].alias("source"), "aliases", "start", "end")
+
+
+def _places(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "spans").select(
+        F.col("span_id").alias("label"), text.normalise_source(F.col("document_id")).alias("doc"), F.col("span_start").alias("start"), F.col("span_end").alias("end"),
+        "heading_level", "heading",
+    )
 
 
 def span_labels(spark: SparkSession, root: str) -> DataFrame:
-    """(case, label, doc, start, end, gain): labelled spans; a null gain counts 1."""
-    s = table(spark, root, "spans").select(F.col("span_id").alias("label"), text.normalise_source(F.col("document_id")).alias("doc"), F.col("span_start").alias("start"), F.col("span_end").alias("end"))
+    """(case, label, doc, start, end, gain): labelled spans, a null gain counting 1, and the known items of the two upper levels."""
+    s = _places(spark, root)
     lab = table(spark, root, "case_labels").where("kind = 'span' AND label_id IS NOT NULL").select(
-        F.col("case_no").alias("case"), F.col("label_id").alias("label"), F.coalesce("gain", F.lit(1.0)).alias("gain")
+        F.concat(F.lit("c"), "case_no").alias("case"), F.col("label_id").alias("label"), F.coalesce("gain", F.lit(1.0)).alias("gain")
     )
-    return lab.groupBy("case", "label").agg(F.max("gain").alias("gain")).join(s, "label")
+    shown = ("case", "label", "doc", "start", "end", "gain")
+    graded = lab.groupBy("case", "label").agg(F.max("gain").alias("gain")).join(s, "label").select(*shown)
+    known = s.where("heading_level <= 2 AND label IS NOT NULL AND heading IS NOT NULL").select(F.concat(F.lit("s"), "label").alias("case"), *shown[1:5], F.lit(1.0).alias("gain"))
+    return graded.unionByName(known)
+
+
+def chunk_labels(spark: SparkSession, root: str) -> DataFrame:
+    """(case, label, gain, ordinal): the known items of the lower levels, labelled with the chunks that hold their heading."""
+    s = _places(spark, root).where("heading_level > 2 AND label IS NOT NULL AND heading IS NOT NULL").alias("s")
+    c = corpus(spark, root).select(text.normalise_source(F.col("file_name")).alias("doc"), "chunk_index", "source_char_start", "source_char_end").alias("c")
+    held = (F.col("c.doc") == F.col("s.doc")) & (F.col("c.source_char_start") <= F.col("s.start")) & (F.col("s.start") < F.col("c.source_char_end"))
+    label = F.concat(F.col("c.doc"), F.lit("::"), F.col("c.chunk_index").cast("string"))
+    return s.join(c, held).select(F.concat(F.lit("s"), "s.label").alias("case"), label.alias("label"), F.lit(1.0).alias("gain"), F.col("c.chunk_index").alias("ordinal")).distinct()
 
 
 def source_labels(spark: SparkSession, root: str) -> DataFrame:
-    s = table(spark, root, "case_labels").select(F.col("case_no").alias("case"), text.normalise_source(F.col("document_id")).alias("source"))
-    return s.where("source <> ''").distinct()
+    s = table(spark, root, "case_labels").select(F.concat(F.lit("c"), "case_no").alias("case"), text.normalise_source(F.col("document_id")).alias("source"))
+    return s.where("source <> '' AND case IS NOT NULL").distinct()
+
+
+def _judged(spark: SparkSession, root: str, k: int = K) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """(cases, results, labels of the three kinds) with the results written once."""
+    return eval_cases(spark, root), cut_lineage(eval_results(spark, root, k)), (span_labels(spark, root), chunk_labels(spark, root), source_labels(spark, root))
 
 
 def _metrics(spark: SparkSession, root: str, once: bool = True) -> tuple[DataFrame, DataFrame]:
-    cases, labels = eval_cases(spark, root), span_labels(spark, root)
-    labels = labels.join(cases.select("case").distinct(), "case", "left_semi")
-    matches = evaluation.match_spans(eval_results(spark, root), labels)
-    return cases, evaluation.case_metrics(cases, matches, labels, K, once)
+    cases, results, labels = _judged(spark, root)
+    return cases, evaluation.evaluate(cases, results, *labels, K, once)
 
 
 def _shown_metrics(m: DataFrame) -> DataFrame:
@@ -207,6 +259,36 @@ def metrics_by_category(spark: SparkSession, root: str) -> DataFrame:
     return evaluation.grouped_metrics(m.join(cases, "case"), "category", "split")
 
 
+@register
+def case_details(spark: SparkSession, root: str) -> DataFrame:
+    cases, results, labels = _judged(spark, root)
+    earned = evaluation.gains(results, *labels)
+    named = labels[0].select("case", "label").unionByName(labels[1].join(labels[0].select("case"), "case", "left_anti").select("case", "label"))
+    d = evaluation.case_details(cases, results, earned, evaluation.evaluate(cases, results, *labels, K), named, K)
+    return d.withColumn("first_relevant_rank", F.col("first_relevant_rank").cast("long"))
+
+
+@register
+def hit_counts(spark: SparkSession, root: str) -> DataFrame:
+    return evaluation.hit_counts(case_details(spark, root))
+
+
+@register
+def result_gains(spark: SparkSession, root: str) -> DataFrame:
+    _, results, labels = _judged(spark, root)
+    return evaluation.gains(results, *labels).select("case", F.col("rank").cast("long").alias("rank"), "kind", "label", "gain")
+
+
+@register
+def failure_analysis(spark: SparkSession, root: str) -> DataFrame:
+    """Span-labelled cases whose first match isn't first among five: where the first twenty have their labels."""
+    cases, results, labels = _judged(spark, root, 20)
+    labelled = cases.join(labels[0].select("case"), "case", "left_semi")
+    met = evaluation.match_spans(results, labels[0])
+    f = evaluation.failures(labelled, met.where(F.col("rank") <= K), labels[0], met.withColumn("stream", F.lit("bm25")), results)
+    return f.withColumn("first_rank", F.col("first_rank").cast("long"))
+
+
 @register
 def source_matches(spark: SparkSession, root: str) -> DataFrame:
     m = evaluation.match_sources(eval_results(spark, root), source_labels(spark, root))
@@ -215,24 +297,27 @@ def source_matches(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def alias_matches(spark: SparkSession, root: str) -> DataFrame:
-    """Results that carry the chunk of a labelled source under either of its names."""
-    labels = source_labels(spark, root).select("case", F.concat("source", F.lit("::0")).alias("label"), F.lit(1.0).alias("gain"), F.lit(0).alias("ordinal"))
-    r = eval_results(spark, root).withColumn("aliases", F.array(F.lower("chunk_id"), F.concat("source", F.lit("::"), F.substring_index("chunk_id", "::", -1))))
-    m = evaluation.match_aliases(r, labels)
+    """Results that carry a labelled chunk under one of their names."""
+    m = evaluation.match_aliases(eval_results(spark, root), chunk_labels(spark, root))
     return m.select("case", F.col("rank").cast("long").alias("rank"), "label", "gain")
 
 
 @register
 def rank_histogram(spark: SparkSession, root: str) -> DataFrame:
-    m = evaluation.match_spans(eval_results(spark, root), span_labels(spark, root))
-    return evaluation.rank_histogram(eval_cases(spark, root), m, K)
+    cases, results, labels = _judged(spark, root)
+    return evaluation.rank_histogram(cases, evaluation.gains(results, *labels), K)
 
 
 @register
 def fold_stats(spark: SparkSession, root: str) -> DataFrame:
-    folds = protocol.grouped_folds(eval_cases(spark, root), "case", 5).select("case", "fold")
-    s = evaluation.fold_summary(_metrics(spark, root)[1].join(folds, "case"), "fold")
-    return s.select(r6("mean").alias("mean"), r6("deviation").alias("deviation"), r6("p95").alias("p95"))
+    """Mean and deviation over five folds, and the percentile, of every metric."""
+    cases, m = _metrics(spark, root)
+    own = cut_lineage(m.join(protocol.grouped_folds(cases, "case", 5).select("case", "fold"), "case"))
+    out = None
+    for name in evaluation.METRICS:
+        s = evaluation.fold_summary(own, "fold", name).select(F.lit(name).alias("metric"), r6("mean").alias("mean"), r6("deviation").alias("deviation"), r6("p95").alias("p95"))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 @register
@@ -245,14 +330,13 @@ def keyword_rates(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def bootstrap_comparison(spark: SparkSession, root: str) -> DataFrame:
-    """Paired bootstrap of nDCG between five and two results a case."""
-    cases, labels = eval_cases(spark, root), span_labels(spark, root)
-    matches = evaluation.match_spans(eval_results(spark, root), labels)
-    a = evaluation.case_metrics(cases, matches, labels, 2).select("case", F.col("ndcg").alias("a"))
-    b = evaluation.case_metrics(cases, matches, labels, K).select("case", F.col("ndcg").alias("b"))
-    both = a.join(b, "case")
-    n = both.select("*", (F.row_number().over(Window.orderBy("case")) - 1).cast("long").alias("n"))  # evaluation cases of one benchmark
-    return evaluation.bootstrap_delta(n, 1000)
+    """Paired bootstrap of the reciprocal rank of all known items and cases between five and two results."""
+    cases, results, labels = _judged(spark, root)
+    a = evaluation.evaluate(cases, results, *labels, 2).select("case", F.col("mrr").alias("a"))
+    b = evaluation.evaluate(cases, results, *labels, K).select("case", F.col("mrr").alias("b"))
+    return evaluation.bootstrap_delta(cut_lineage(protocol.numbered(a.join(b, "case"), "case"))).select(
+        r6("observed").alias("observed"), r6("low").alias("low"), r6("high").alias("high"), "crosses_zero"
+    )
 
 
 # -- protocol -----------------------------------------------------------------------------------
@@ -287,6 +371,46 @@ def label_anti_join(spark: SparkSession, root: str) -> DataFrame:
     return source_labels(spark, root).join(c, "source", "left_anti").groupBy("source").agg(F.count("*").alias("labels"))
 
 
+@register
+def section_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Sections of each document in pairs that don't overlap, for cases with two relevant sections."""
+    return protocol.adjacent_pairs(table(spark, root, "spans"), "document_id", "span_start", "span_id")
+
+
+@register
+def picked_sections(spark: SparkSession, root: str) -> DataFrame:
+    """Twenty-five sections in strides of seven through all sections, in the order of document and place."""
+    s = table(spark, root, "spans").select("document_id", "span_id", "span_start")
+    docs = s.groupBy("document_id").agg(F.count("*").alias("held")).withColumn("cell", F.substring("document_id", 1, 2))
+    cells = docs.groupBy("cell").agg(F.sum("held").alias("inside"))
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("cell_first", upto("inside", Window.orderBy("cell")))  # one row for each first two letters
+    docs = docs.withColumn("doc_first", upto("held", Window.partitionBy("cell").orderBy("document_id"))).join(cells, "cell")
+    own = F.row_number().over(Window.partitionBy("document_id").orderBy("span_start", "span_id")) - 1
+    placed = s.withColumn("own", own).join(docs, "document_id").withColumn("place", F.col("cell_first") + F.col("doc_first") + F.col("own"))
+    picks = [(n, p) for n, p in enumerate(protocol.strided(s.count(), 25, 3))]
+    return spark.createDataFrame(picks, "pick long, place long").join(placed, "place").select("pick", "span_id")
+
+
+@register
+def built_cases(spark: SparkSession, root: str) -> DataFrame:
+    """The graded span labels as built cases: how many labels each has, and the best one."""
+    c = table(spark, root, "benchmark_cases").where("case_no IS NOT NULL").groupBy("case_no").agg(F.max("question").alias("question"), F.max("category").alias("category"))
+    lab = table(spark, root, "case_labels").where("kind = 'span' AND label_id IS NOT NULL").groupBy("case_no", F.col("label_id").alias("span_id")).agg(F.max(F.coalesce("gain", F.lit(1.0))).alias("gain"))
+    targets = lab.join(c, "case_no").withColumnRenamed("case_no", "case")
+    built = protocol.build_cases(targets, table(spark, root, "spans"))
+    return built.select("case", F.size("labels").cast("long").alias("labels"), F.col("labels")[0]["span_id"].alias("best"))
+
+
+@register
+def case_faults(spark: SparkSession, root: str) -> DataFrame:
+    """What a check of the cases finds: doubled ids and questions, cases without labels, labels without a span."""
+    lab = table(spark, root, "case_labels").where("kind = 'span' AND label_id IS NOT NULL").groupBy("case_no").agg(F.collect_set(F.struct(F.col("label_id").alias("span_id"))).alias("labels"))
+    c = table(spark, root, "benchmark_cases").where("case_no IS NOT NULL").select("case_no", "question", "category").join(lab, "case_no", "left").withColumnRenamed("case_no", "case")
+    found = protocol.case_faults(c, table(spark, root, "spans"))
+    return found.select("fault", F.sha2(F.coalesce("name", F.lit("")), 256).alias("name_hash"))
+
+
 @register
 def set_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Documents of chunks and of spans: in both, or in one only."""

@@ -122,13 +122,13 @@ ORACLES["display_titles"] = r"""SELECT doc_id, CASE WHEN length(f) > 120 THEN su
   FROM (SELECT doc_id, replace(text, chr(10), ' ') AS f FROM documents)"""
 ORACLES["bm25_topk"] = f"WITH {CORPUS}, {ASKED}, {bm25('asked', word('text'), 'corpus', 'key', word('content'))} SELECT qid, rank, key, {r6('score')} AS score FROM {top('scores', 5)}"
 _SWEEP = " UNION ALL ".join(f"SELECT {k}::DOUBLE AS k1, {b}::DOUBLE AS b" for k in (0.9, 1.2, 1.5) for b in (0.3, 0.75))
-ORACLES["bm25_k1b_sweep"] = f"""WITH {CORPUS}, {ASKED}, orig AS (SELECT * FROM asked WHERE variant = 'original'), grid AS ({_SWEEP}),
+ORACLES["bm25_k1b_sweep"] = f"""WITH {CORPUS}, {ASKED}, orig AS (SELECT * FROM asked), grid AS ({_SWEEP}),
   {bm25('orig', word('text'), 'corpus', 'key', word('content'))},
   swept AS (SELECT qid, k1, b, key, sum(qtf * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))) AS score
     FROM terms JOIN idf USING (term) JOIN posts USING (term), stats, grid GROUP BY ALL)
   SELECT qid, k1, b, key, {r6('score')} AS score FROM swept WHERE score > 0
   QUALIFY row_number() OVER (PARTITION BY qid, k1, b ORDER BY round(score, 9) DESC, key) = 1"""
-ORACLES["field_bm25"] = f"""WITH {CORPUS}, {ASKED}, orig AS (SELECT * FROM asked WHERE variant = 'original'),
+ORACLES["field_bm25"] = f"""WITH {CORPUS}, {ASKED}, orig AS (SELECT * FROM asked),
   fields AS (SELECT key, 'title' AS field, coalesce(string_split(coalesce(heading_path, ''), ' > ')[1], '') AS text, 3.0::DOUBLE AS w FROM corpus
     UNION ALL SELECT key, 'heading', coalesce(heading_path, ''), 2.0 FROM corpus UNION ALL SELECT key, 'body', content, 1.0 FROM corpus),
   toks AS (SELECT key, field, w, {bigrams('i')} AS t FROM (SELECT *, {identifier('text')} AS i FROM fields)),
@@ -144,7 +144,7 @@ ORACLES["field_bm25"] = f"""WITH {CORPUS}, {ASKED}, orig AS (SELECT * FROM asked
   summed AS (SELECT qid, key, sum(w * (s - lo) / (hi - lo)) AS score FROM scores JOIN span USING (qid, field) WHERE hi > lo GROUP BY qid, key)
   SELECT qid, rank, key, {r6('score')} AS score FROM {top('summed', 5)}"""
 ORACLES["corpus_bm25_stats"] = f"WITH {CORPUS}, {ASKED}, {bm25('asked', word('text'), 'corpus', 'key', word('content'))} SELECT term, df, {r6('idf')} AS idf FROM idf"
-ORACLES["corpus_profile_bm25"] = f"""WITH {CORPUS}, {ASKED}, orig AS (SELECT * FROM asked WHERE variant = 'original'),
+ORACLES["corpus_profile_bm25"] = f"""WITH {CORPUS}, {ASKED}, orig AS (SELECT * FROM asked),
   {bm25('orig', technical('text'), 'corpus', 'key', technical('content'), '1.2::DOUBLE')},
   span AS (SELECT qid, CASE WHEN count(*) < (SELECT n_docs FROM stats) THEN least(min(score), 0) ELSE min(score) END AS lo, max(score) AS hi FROM scores GROUP BY qid)
   SELECT qid, rank, key, {r6('CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0::DOUBLE END')} AS norm FROM {top('scores', 5, False)} JOIN span USING (qid)"""
@@ -165,7 +165,8 @@ ORACLES["fuse_variants"] = f"""WITH {CORPUS}, {ASKED}, {bm25('asked', word('text
   fused AS (SELECT qid, key, sum(CASE WHEN n = 1 THEN score ELSE CASE variant WHEN 'original' THEN 1.0::DOUBLE WHEN 'rewrite' THEN 0.7::DOUBLE
     WHEN 'expansion' THEN 0.5::DOUBLE WHEN 'prf' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank) END) AS score FROM lists JOIN many USING (qid) GROUP BY qid, key)
   SELECT qid, rank, key, {r6('score')} AS score FROM {top('fused', 5)}"""
-ORACLES["hierarchy_bonus"] = f"""{_fuse('w * norm')}, sec AS (SELECT *, string_split(key, '::')[1] AS section FROM fused),
+ORACLES["hierarchy_bonus"] = f"""{_fuse('w * norm')}, {CORPUS}, paths AS (SELECT chunk_id, arg_min(coalesce(heading_path, ''), (coalesce(page_number, 0), coalesce(heading_path, ''))) AS h FROM corpus GROUP BY 1),
+  sec AS (SELECT fused.*, string_split(key, '::')[1] || chr(1) || coalesce(h, '') AS section FROM fused LEFT JOIN paths ON chunk_id = key),
   best AS (SELECT qid, section, max(score) AS best FROM sec GROUP BY ALL),
   bonus AS (SELECT qid, section, (count(*) OVER (PARTITION BY qid) - (row_number() OVER (PARTITION BY qid ORDER BY round(best, 9) DESC, section) - 1))::DOUBLE
     / greatest(1, count(*) OVER (PARTITION BY qid)) * 0.08::DOUBLE AS bonus FROM best),
@@ -229,3 +230,13 @@ ORACLES["cosine_topk"] = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v F
 ORACLES["label_cohesion"] = f"""WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
   m AS (SELECT label, i, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL) SELECT label, {r6('sqrt(sum(m * m))')} AS length, max(n) AS vectors FROM m GROUP BY label"""
 ORACLES["vector_norms"] = f"SELECT vec_id, len(embedding) AS dims, {r6('sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))')} AS length FROM embeddings"
+ORACLES["native_pool"] = f"""WITH {streams()}, seat AS (SELECT qid, key, min(CASE stream WHEN 'dense' THEN 0 ELSE 1000 END + rank) AS spot FROM streams WHERE rank <= 10 GROUP BY qid, key),
+  pool AS (SELECT qid, key, spot FROM seat UNION ALL SELECT qid, key, 2000 FROM latest WHERE qid NOT IN (SELECT qid FROM seat))
+  SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY late DESC NULLS LAST, spot, key) AS rank, key, {r6('late')} AS score FROM pool JOIN latest USING (qid, key)"""
+ORACLES["routing_summary"] = f"""WITH conf AS ({ORACLES['confidence']}), q AS (SELECT query_id AS qid, bool_or(query_variant = 'rewrite') AS r, bool_or(query_variant = 'expansion') AS e,
+    bool_or(query_variant = 'prf') AS p, count(*) AS n FROM queries GROUP BY 1), d AS (SELECT q.*, confidence AS c FROM q LEFT JOIN conf USING (qid))
+  SELECT count(*) AS cases, count_if(r) AS rewrite_count, round(100.0::DOUBLE * count_if(r) / count(*), 4) AS rewrite_rate_percent, count_if(e) AS expansion_count,
+    round(100.0::DOUBLE * count_if(e) / count(*), 4) AS expansion_rate_percent, count_if(p) AS prf_count, round(100.0::DOUBLE * count_if(p) / count(*), 4) AS prf_rate_percent,
+    count_if(c < 0.5) AS confidence_trigger_count, coalesce(round(avg(c), 4), 0.0::DOUBLE) AS average_confidence, round(avg(n), 4) AS average_query_variant_count FROM d"""
+ORACLES["latency_summary"] = """SELECT round(avg(value), 3) AS mean_ms, round(list_sort(list(value))[ceil(0.95::DOUBLE * count(value))::BIGINT], 3) AS p95_ms,
+  round(100.0::DOUBLE * avg(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0 END), 4) AS escalation_rate_percent FROM events"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagery.functions import signals, text, vectors
-from passagery.operators import fusion, lexical
+from passagery.operators import evaluation, fusion, lexical, rerank
 from passagery.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,7 +152,7 @@ def bm25_topk(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def bm25_k1b_sweep(spark: SparkSession, root: str) -> DataFrame:
-    q, c = asked(spark, root).where("variant = 'original'"), corpus(spark, root)
+    q, c = asked(spark, root), corpus(spark, root)
     grid = [(k1, b) for k1 in (0.9, 1.2, 1.5) for b in (0.3, 0.75)]
     top = lexical.bm25_grid(q, "qid", _word("text"), c, "key", _word("content"), grid, 1)
     return top.select("qid", "k1", "b", "key", r6("score").alias("score"))
@@ -170,7 +170,7 @@ def _fields(c: DataFrame) -> DataFrame:
 
 @register
 def field_bm25(spark: SparkSession, root: str) -> DataFrame:
-    q = asked(spark, root).where("variant = 'original'")
+    q = asked(spark, root)
     tok = text.identifier_tokens(F.col("text"))
     out = lexical.field_bm25(q, "qid", tok, _fields(corpus(spark, root)), tok, {"title": 3.0, "heading": 2.0, "body": 1.0})
     return out.select("qid", F.col("rank").cast("long").alias("rank"), "key", r6("score").alias("score"))
@@ -186,7 +186,7 @@ def corpus_bm25_stats(spark: SparkSession, root: str) -> DataFrame:
 @register
 def corpus_profile_bm25(spark: SparkSession, root: str) -> DataFrame:
     """Whole-corpus profile: scores min-max scaled over all chunks (those without a hit score 0), the best 5 shown."""
-    q, c = asked(spark, root).where("variant = 'original'"), corpus(spark, root)
+    q, c = asked(spark, root), corpus(spark, root)
     tok = lambda x: text.technical_tokens(F.col(x))
     top = lexical.corpus_scaled(q, "qid", tok("text"), c, "key", tok("content"), 5)
     return top.select("qid", F.col("rank").cast("long").alias("rank"), "key", r6("norm").alias("norm"))
@@ -238,9 +238,14 @@ def fuse_variants(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def hierarchy_bonus(spark: SparkSession, root: str) -> DataFrame:
-    """The fused ranking after its sections' bonus; the section of a candidate is its file."""
+    """The fused ranking after its sections' bonus; the section of a candidate is its file and heading path.
+
+    A candidate's key may stand on several pages; the heading path is that of the first.
+    """
     f = fusion.fuse(fusion.minmax(streams(spark, root)), "weighted_linear", stream_weight())
-    f = f.withColumn("section", F.substring_index("key", "::", 1))
+    paths = corpus(spark, root).groupBy(F.col("chunk_id").alias("key")).agg(F.min(F.struct(F.coalesce("page_number", F.lit(0)).alias("p"), F.coalesce("heading_path", F.lit("")).alias("h"))).alias("m"))
+    f = f.join(paths.select("key", "m.h"), "key", "left")
+    f = f.withColumn("section", F.concat_ws("\x01", F.substring_index("key", "::", 1), F.coalesce("h", F.lit("")))).drop("h")
     return _shown(lexical.top_k(fusion.hierarchy_bonus(f), 5))
 
 
@@ -263,6 +268,36 @@ def native_rerank(spark: SparkSession, root: str) -> DataFrame:
     return _shown(f.withColumn("rank", F.row_number().over(o)).where("rank <= 10"))
 
 
+@register
+def native_pool(spark: SparkSession, root: str) -> DataFrame:
+    """The best ten of dense and of sparse together, once each, in the order of the late-interaction score."""
+    s = streams(spark, root).where("rank <= 10")
+    late = latest_candidates(spark, root).select("qid", "key", F.col("late").alias("score"))
+    pool = rerank.native_pool(
+        s.where("stream = 'dense'"), s.where("stream = 'sparse'"), late.select("qid", "key"), lambda p: p.join(late, ["qid", "key"], "left")
+    )
+    return pool.select("qid", F.col("rank").cast("long").alias("rank"), "key", r6("score").alias("score"))
+
+
+@register
+def routing_summary(spark: SparkSession, root: str) -> DataFrame:
+    """How often the queries have rewrites, expansions and feedback variants, and how sure their stored streams are."""
+    q = table(spark, root, "queries").groupBy(F.col("query_id").alias("qid")).agg(
+        *(F.coalesce(F.bool_or(F.col("query_variant") == v), F.lit(False)).alias(f"{n}_applied") for v, n in (("rewrite", "rewrite"), ("expansion", "expansion"), ("prf", "prf"))),
+        F.count("*").alias("query_variant_count"),
+    )
+    sure = confidence(spark, root).select("qid", F.col("confidence").alias("confidence_score"))
+    d = q.join(sure, "qid", "left").withColumn("confidence_triggered", F.col("confidence_score") < 0.5)
+    return evaluation.routing_summary(d)
+
+
+@register
+def latency_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Mean and nearest-rank percentile over the values of all events, with the share of one type."""
+    e = table(spark, root, "events").select("value", (F.col("event_type") == "purchase").alias("bought"))
+    return evaluation.latency_summary(e, "value", "bought")
+
+
 @register
 def confidence(spark: SparkSession, root: str) -> DataFrame:
     return fusion.confidence(_fused(spark, root, "weighted_linear", 2), streams(spark, root), "dense", "sparse")
