@@ -180,10 +180,23 @@ def duration(seconds: Column) -> Column:
     )
 
 
-def parse_numbers(c: Column, kind: str = "int") -> Column:
-    """Distinct numbers of a list separated by commas or semicolons, invalid entries dropped."""
+def parse_numbers(c: Column, kind: str = "int", least: float | None = None, most: float | None = None, fallback: tuple = ()) -> Column:
+    """Distinct numbers of a list separated by commas or semicolons, in their order; what is invalid or out of range is dropped.
+
+    Whole numbers are rounded towards 0, others to four digits; where nothing is left the fallback stands.
+    """
     parts = F.split(F.replace(F.coalesce(c, F.lit("")), F.lit(";"), F.lit(",")), ",")
-    return F.array_distinct(F.array_compact(F.transform(parts, lambda p: F.trim(p).try_cast(kind))))
+    own = F.array_compact(F.transform(parts, lambda p: F.trim(p).try_cast("double")))
+    own = F.filter(own, lambda x: ~F.isnan(x) & (F.lit(least is None) | (x >= F.lit(least or 0.0))) & (F.lit(most is None) | (x <= F.lit(most or 0.0))))
+    own = F.array_distinct(F.transform(own, lambda x: x.cast("int") if kind == "int" else F.round(x, 4)))
+    return F.when(F.size(own) > 0, own).otherwise(F.array(*map(F.lit, fallback)).cast(f"array<{kind}>"))
+
+
+def parse_flags(c: Column) -> Column:
+    """Distinct on / off values of such a list, in their order; both where none is valid."""
+    parts = F.transform(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit(";"), F.lit(",")), ","), lambda p: F.lower(F.trim(p)))
+    own = F.transform(F.filter(parts, lambda p: p.isin("on", "off", "true", "false")), lambda p: p.isin("on", "true"))
+    return F.when(F.size(own) > 0, F.array_distinct(own)).otherwise(F.array(F.lit(False), F.lit(True)))
 
 
 def passage_prefix(text: Column, model: Column, query: bool, instruction: str = "") -> Column:

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagery.config import CorpusConfig, FieldConfig, RetrievalConfig
 from passagery.functions import signals, text, vectors
-from passagery.operators import analytics, chunking, evaluation, feedback, fusion, lexical, protocol, rerank
+from passagery.operators import analytics, answers, chunking, ensemble, evaluation, feedback, fusion, lexical, protocol, rerank
+from passagery.plans import pipeline
 from passagery.plans.queries import _word, asked, corpus, latest_candidates, r6, register, stream_weight, streams
-from passagery.runtime import cut_lineage, table
+from passagery.runtime import cut_lineage, scratch, table
+from passagery.sources import cases as case_labels
+from passagery.sources import catalog, loaders
+from passagery.streaming import ingest
 
 K = 5
 
@@ -119,11 +124,121 @@ def intent_boost(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def context_format(spark: SparkSession, root: str) -> DataFrame:
-    r = _results(spark, root, 3)
-    head = F.format_string("--- Source [%d]: %s ---\n", F.col("rank"), F.col("file_name"))
-    parts = r.select("qid", "rank", F.concat(head, "content").alias("part"))
-    listed = F.array_sort(F.collect_list(F.struct("rank", "part")))  # at most 3
-    return parts.groupBy("qid").agg(F.sha2(F.array_join(F.transform(listed, lambda s: s["part"]), "\n"), 256).alias("context_hash"))
+    c = answers.contexts(_results(spark, root, 3).join(corpus(spark, root).select("key", "chunk_index"), "key"))
+    return c.select("qid", F.sha2("context", 256).alias("context_hash"))
+
+
+@register
+def answer_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Answers of a stand-in that repeats the length of its prompt, for all queries, with their sources."""
+    found = answers.answer(asked(spark, root).select("qid", "text"), _results(spark, root, 3).join(corpus(spark, root).select("key", "chunk_index"), "key"), lambda p, said: str(len(p)))
+    return found.select("qid", F.size("retrieved_sources").cast("long").alias("sources"), F.col("retrieved_sources")[0]["file_name"].alias("first_source"))
+
+
+@register
+def ensemble_modes(spark: SparkSession, root: str) -> DataFrame:
+    """Which streams stand for instructions: of each candidate the greatest scaled score over the stored streams."""
+    s = fusion.minmax(streams(spark, root, "dense", "sparse", "late")).select("qid", F.lit("all").alias("stream"), F.col("stream").alias("mode"), "key", F.round("norm", 9).alias("score"))
+    return ensemble.best_over_modes(s, 10).select("qid", "key", F.col("rank").cast("long").alias("rank"), r6("score").alias("score"))
+
+
+@register
+def resolved_hits(spark: SparkSession, root: str) -> DataFrame:
+    """Hits that lost their index are found again by their text: every chunk once, each third without its index."""
+    c = corpus(spark, root).select("key", "file_name", F.concat_ws("@", "chunk_index", F.coalesce("page_number", F.lit(0))).alias("chunk_index"), "content")
+    hits = c.select("file_name", F.when(F.length("content") % 3 == 0, F.lit("lost")).otherwise(F.col("chunk_index")).alias("chunk_index"), "content", F.lit(0.25).alias("distance"))
+    return ensemble.resolve_hits(hits, c).groupBy("key").agg(F.count("*").alias("hits"), F.max("score").alias("score"))
+
+
+# -- profiles -----------------------------------------------------------------------------------
+
+
+def _asked_once(spark: SparkSession, root: str) -> DataFrame:
+    return asked(spark, root).select("qid", "text")
+
+
+def _ranked_rows(df: DataFrame) -> DataFrame:
+    return df.select("qid", F.col("rank").cast("long").alias("rank"), "key", r6("score").alias("score"))
+
+
+@register
+def profile_default(spark: SparkSession, root: str) -> DataFrame:
+    """The default profile, with BM25 alone, as no encoder is at hand."""
+    config = RetrievalConfig(top_k=K, dense_weight=0.0, sparse_weight=1.0, overlap_weight=0.2)
+    return _ranked_rows(pipeline.retrieve(_asked_once(spark, root), corpus(spark, root), None, config))
+
+
+@register
+def profile_fields(spark: SparkSession, root: str) -> DataFrame:
+    """The field profile, with field BM25 alone and the hierarchy bonus."""
+    config = FieldConfig(weights={"bm25": 1.0}, router=False)
+    return _ranked_rows(pipeline.retrieve_fields(_asked_once(spark, root), corpus(spark, root), None, config))
+
+
+@register
+def profile_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """The whole-corpus profile, with technical tokens and BM25 alone."""
+    config = CorpusConfig(dense_weight=0.0, sparse_weight=1.0, technical_tokens=True)
+    return _ranked_rows(pipeline.retrieve_corpus(_asked_once(spark, root), corpus(spark, root), None, config))
+
+
+# -- sources ------------------------------------------------------------------------------------
+
+
+@register
+def case_label_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The span and source labels of all cases, written as JSON lines and read back."""
+    one = _places(spark, root).select("label", "doc", "start", "end")
+    lab = table(spark, root, "case_labels").where("case_no IS NOT NULL AND kind = 'span' AND label_id IS NOT NULL").groupBy("case_no", F.col("label_id").alias("label")).agg(
+        F.max(F.coalesce("gain", F.lit(1.0))).alias("gain")
+    )
+    spans = lab.join(one, "label").where("doc <> ''").groupBy("case_no").agg(
+        F.collect_list(F.struct(F.col("label").alias("span_id"), F.col("doc").alias("document_id"), "start", "end", "gain")).alias("relevance_spans")  # one case's
+    )
+    folder = scratch(spark, "cases")
+    loaders.write_jsonl(spans.select(F.col("case_no").cast("string").alias("id"), "relevance_spans"), folder, sorted_keys=True)
+    return case_labels.labels(spark.read.text(folder)).select("case", "kind", "label", "doc", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "gain")
+
+
+@register
+def documents_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """All documents written as lines of JSON and read back."""
+    folder = scratch(spark, "documents")
+    loaders.write_jsonl(table(spark, root, "documents_in").select("id", "file_name", "page_number", "content"), folder)
+    back = loaders.read_jsonl(spark, folder, "id string, file_name string, page_number int, content string")
+    return back.groupBy("id").agg(F.count("*").alias("n"), F.min(F.sha2("content", 256)).alias("content_hash"), F.max("page_number").cast("long").alias("page"))
+
+
+@register
+def catalog_terms(spark: SparkSession, root: str) -> DataFrame:
+    """Document frequencies of an index that was written, found again by its manifest and opened."""
+    folder = scratch(spark, "catalog")
+    catalog.open_or_build(spark, folder, corpus(spark, root), model="none", chunking="given")
+    return catalog.find_index(spark, folder, chunking="given").part("terms").select("term", F.col("df").cast("long").alias("df"), r6("idf").alias("idf"))
+
+
+@register
+def cached_search(spark: SparkSession, root: str) -> DataFrame:
+    """Lists kept ten deep and asked for the first three."""
+    q, c = asked(spark, root), corpus(spark, root)
+    kept = catalog.CachedSearch(lambda own, k: lexical.bm25_topk(own, "qid", _word("text"), c, "key", _word("content"), k), q, 10)
+    return _ranked_rows(kept.query(q, 3))
+
+
+@register
+def streamed_events(spark: SparkSession, root: str) -> DataFrame:
+    """Events of each hour and type, counted by a stream that reads all there is."""
+    source = f"{root}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = scratch(spark, "events")
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    ingest.event_rates(events, late="3650 days").writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch(spark, "state")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return spark.read.parquet(out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", r6("total").alias("total"))
 
 
 # -- ranking ------------------------------------------------------------------------------------

@@ -43,7 +43,33 @@ _INTENT = f"(?:{FB.DEFINITION})"
 ORACLES["intent_boost"] = f"""{results(10)}, o AS (SELECT qid, key, score, text, file_name, coalesce(content, '') AS content,
     list_filter({runs('text')}, lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z0-9_-]{{1,9}}$') AND upper(t) = t AND regexp_matches(t, '[A-Z]')) AS ac FROM res)
   SELECT qid, key, {r6(f"score + len(list_filter(ac, lambda a: regexp_matches(content, {re_('(?i)' + FB.WORD_START)} || a || {re_(FB.WORD_END)}))) * CASE WHEN regexp_matches(lower(coalesce(file_name, '')), {re_(FB.GLOSSARY)}) THEN CASE WHEN regexp_matches(lower(coalesce(text, '')), {re_(FB.WORD_START + _INTENT + FB.WORD_END)}) THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END ELSE 0.15::DOUBLE END")} AS score FROM o"""
-ORACLES["context_format"] = f"""{results(3)} SELECT qid, sha256(string_agg('--- Source [' || rank || ']: ' || file_name || ' ---' || chr(10) || content, chr(10) ORDER BY rank)) AS context_hash FROM res GROUP BY qid"""
+ORACLES["context_format"] = f"""{results(3)} SELECT qid, sha256(string_agg('--- Source [' || rank || ']: ' || r.file_name || ' (Chunk ' || c.chunk_index || ') ---' || chr(10) || r.content || chr(10), chr(10) ORDER BY rank)) AS context_hash
+  FROM res r JOIN corpus c USING (key) GROUP BY qid"""
+ORACLES["answer_sources"] = f"{results(3)} SELECT a.qid, count(r.key) AS sources, arg_min(r.file_name, r.rank) AS first_source FROM asked a LEFT JOIN res r USING (qid) GROUP BY a.qid"
+ORACLES["ensemble_modes"] = f"""WITH {streams('dense', 'sparse', 'late')}, b AS (SELECT qid, key, max(round(norm, 9)) AS score FROM normed GROUP BY ALL)
+  SELECT qid, key, rank, {r6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM b) WHERE rank <= 10"""
+ORACLES["resolved_hits"] = f"""WITH {CORPUS}, t AS (SELECT content, min(key) AS first FROM corpus GROUP BY content),
+  h AS (SELECT CASE WHEN length(content) % 3 = 0 THEN first ELSE key END AS key FROM corpus JOIN t USING (content)) SELECT key, count(*) AS hits, 0.75::DOUBLE AS score FROM h GROUP BY key"""
+_PICK = "SELECT qid, rank, key, {} AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, {}) AS rank FROM {}) WHERE rank <= 5"
+ORACLES["profile_default"] = f"""{results(20)}, n AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM res),
+  f AS (SELECT qid, key, CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END AS score, {_OV.format(runs('text'))} AS q, {_OV.format(runs('content'))} AS c FROM n),
+  b AS (SELECT qid, key, score + 0.2::DOUBLE * CASE WHEN len(q) > 0 THEN len(list_intersect(q, c))::DOUBLE / len(q) ELSE 0 END AS score FROM f)
+  """ + _PICK.format(r6("score"), "key", "b")
+ORACLES["profile_fields"] = ORACLES["field_bm25"].rpartition("SELECT qid, rank, key")[0] + f""", cand AS (SELECT * FROM {top('summed', 50)}),
+  n AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM cand),
+  g AS (SELECT qid, key, CASE WHEN hi = lo THEN 1.0::DOUBLE ELSE (score - lo) / (hi - lo) END AS score, file_name || chr(1) || coalesce(heading_path, '') AS section FROM n JOIN corpus USING (key)),
+  best AS (SELECT qid, section, max(score) AS best FROM g GROUP BY ALL),
+  bonus AS (SELECT qid, section, (count(*) OVER (PARTITION BY qid) - (row_number() OVER (PARTITION BY qid ORDER BY round(best, 9) DESC, section) - 1))::DOUBLE
+    / greatest(1, count(*) OVER (PARTITION BY qid)) * 0.08::DOUBLE AS bonus FROM best),
+  boosted AS (SELECT qid, key, score + bonus AS score FROM g JOIN bonus USING (qid, section)) """ + _PICK.format(r6("score"), "key", "boosted")
+ORACLES["profile_corpus"] = ORACLES["corpus_profile_bm25"].replace(" AS norm FROM", " AS score FROM")
+ORACLES["case_label_rows"] = f"""WITH l AS (SELECT case_no, label_id AS label, max(coalesce(gain, 1.0)) AS gain FROM case_labels WHERE kind = 'span' AND label_id IS NOT NULL AND case_no IS NOT NULL GROUP BY 1, 2)
+  SELECT case_no::VARCHAR AS "case", 'span' AS kind, label, {NORM('document_id')} AS doc, span_start::BIGINT AS start, span_end::BIGINT AS "end", gain FROM l JOIN spans ON span_id = label
+  WHERE {NORM('document_id')} <> '' AND span_start >= 0 AND span_start < span_end AND gain > 0"""
+ORACLES["documents_round_trip"] = "SELECT id, count(*) AS n, min(sha256(content)) AS content_hash, max(page_number)::BIGINT AS page FROM documents_in GROUP BY id"
+ORACLES["catalog_terms"] = ORACLES["corpus_bm25_stats"]
+ORACLES["cached_search"] = f"WITH {_RESULTS} SELECT qid, rank, key, {r6('score')} AS score FROM {top('scores', 3)}"
+ORACLES["streamed_events"] = f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, {r6('sum(value)')} AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL"
 _LT = (
     "list_distinct(list_filter(list_transform(list_filter({}, lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*$')), lambda t: lower(t)), "
     f"lambda t: NOT list_contains({lst(T.STOP_LTR)}, t)))"

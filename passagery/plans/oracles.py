@@ -206,7 +206,9 @@ ORACLES["query_signals"] = f"""WITH {ASKED}, {_GATE} SELECT qid, len(toks) AS to
 ORACLES["query_decisions"] = f"""WITH {ASKED}, {_GATE}, p AS (SELECT *, list_concat(list_filter([CASE WHEN len(acronyms) > 0 THEN 'acronym' END, CASE WHEN len(quoted_terms) > 0 THEN 'quoted_term' END,
   CASE WHEN len(numeric_codes) > 0 THEN 'numeric_code' END, CASE WHEN len(identifiers) > 0 THEN 'identifier' END], lambda x: x IS NOT NULL), precision) AS protected FROM gated)
   SELECT qid, coalesce(array_to_string(protected, '|'), '') AS protected, len(protected) = 0 AND (len(ambiguity) > 0 OR
-    (regexp_matches(coalesce(text, ''), {re_(S.QUESTION_START)}) AND len(toks) >= 7)) AS should_route FROM p"""
+    (regexp_matches(coalesce(text, ''), {re_(S.QUESTION_START)}) AND len(toks) >= 7)) AS should_route,
+  coalesce(nullif(concat_ws('|', CASE WHEN len(protected) > 0 THEN 'precision-preserving query' END, CASE WHEN len(ambiguity) > 0 THEN 'underspecified natural-language signal'
+    WHEN len(protected) = 0 AND regexp_matches(coalesce(text, ''), {re_(S.QUESTION_START)}) AND len(toks) >= 7 THEN 'long semantic question' END), ''), 'short or non-question query') AS reasons FROM p"""
 _LEX = f"""(len(list_filter({runs('text')}, lambda t: regexp_matches(t, '^[A-Za-z][A-Za-z0-9_-]{{1,9}}$') AND upper(t) = t AND regexp_matches(t, '[A-Z]'))) > 0
   OR regexp_matches(coalesce(text, ''), '[`"''][^`"'']+[`"'']')
   OR len(list_filter(regexp_extract_all(coalesce(text, ''), {re_(T.WORD)}), lambda t: regexp_matches(t, '^[0-9]{{3}}$'))) > 0

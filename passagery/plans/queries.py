@@ -340,7 +340,7 @@ def query_signals(spark: SparkSession, root: str) -> DataFrame:
 def query_decisions(spark: SparkSession, root: str) -> DataFrame:
     q = asked(spark, root).withColumn("s", signals.gate(F.col("text")))
     q = q.withColumn("d", signals.decision(F.col("text"), F.col("s")))
-    return q.select("qid", F.array_join("d.protected", "|").alias("protected"), F.col("d.should_route").alias("should_route"))
+    return q.select("qid", F.array_join("d.protected", "|").alias("protected"), F.col("d.should_route").alias("should_route"), F.array_join("d.reasons", "|").alias("reasons"))
 
 
 @register

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagery.functions.text import word_tokens
 from passagery.operators.lexical import corpus_stats, postings, term_idf
+from passagery.runtime import cut_lineage
 
 
 class IncompatibleIndexError(ValueError):
@@ -27,6 +30,14 @@ def corpus_hash(root: str) -> str:
     return h.hexdigest()
 
 
+def corpus_fingerprint(df: DataFrame, *columns: str) -> str:
+    """A fingerprint of the rows' named columns that doesn't depend on their order, from hashes summed in the tasks."""
+    h = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    part = lambda k: F.sum(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{k}")
+    row = df.agg(F.count("*").alias("n"), *(part(k) for k in range(8))).first()
+    return hashlib.sha256("|".join(map(str, row)).encode()).hexdigest()
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Append the rows of df whose keys the table at path doesn't hold yet; repeated keys in df count once."""
     spark = df.sparkSession
@@ -88,9 +99,67 @@ class Index:
         """Append embeddings of new (chunk_key, model, representation); known ones aren't encoded again."""
         return append_new(vectors, f"{self.path}/vectors", ["chunk_key", "model", "representation"])
 
+    def put_vectors(self, vectors: DataFrame) -> DataFrame:
+        """Add embeddings, those of known (chunk_key, model, representation) in place of the old ones."""
+        keys = ["chunk_key", "model", "representation"]
+        path = f"{self.path}/vectors"
+        new = vectors.dropDuplicates(keys)
+        if _exists(self.spark, path):
+            new = cut_lineage(new.unionByName(self.part("vectors").join(new.select(*keys), keys, "left_anti")))
+        new.write.mode("overwrite").parquet(path)
+        return self.part("vectors")
+
+    def encode(self, texts: DataFrame, model: str, encoder: Callable[[pd.Series], pd.Series]) -> DataFrame:
+        """(text_key, model, embedding) of all texts (text): what is stored under the text's hash isn't encoded again.
+
+        encoder turns a batch of texts into vectors. An encoder that isn't given its model raises as it likes.
+        """
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for t in batches:
+                yield encoder(t)
+
+        path = f"{self.path}/encoded"
+        own = texts.where("text IS NOT NULL").select("text", F.sha2(F.concat_ws("\x01", F.lit(model), "text"), 256).alias("text_key")).dropDuplicates(["text_key"])
+        if _exists(self.spark, path):
+            own = own.join(self.part("encoded").select("text_key"), "text_key", "left_anti")
+        own.select("text_key", F.lit(model).alias("model"), F.pandas_udf(run, "array<double>")("text").alias("embedding")).write.mode("append").parquet(path)
+        return self.part("encoded").where(F.col("model") == model)
+
+    def dimensions(self, query: list[float]) -> tuple[int | None, int]:
+        """(dimension of what is stored, dimension of the query vector); they must be equal where something is stored."""
+        stored = self.part("vectors").select(F.size("embedding").alias("n")).limit(1).collect() if _exists(self.spark, f"{self.path}/vectors") else []
+        own = stored[0]["n"] if stored else None
+        if own is not None and own != len(query):
+            raise IncompatibleIndexError(f"the index has {own} dimensions, the query {len(query)}")
+        return own, len(query)
+
 
 def open_or_build(spark: SparkSession, folder: str, chunks: DataFrame, **settings: object) -> Index:
     """The index of these settings: reused where its manifest exists, built otherwise."""
     name = hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]
     index = Index(spark, f"{folder}/{name}")
     return index if index.exists() else index.build(chunks, **settings)
+
+
+def find_index(spark: SparkSession, folder: str, **wanted: object) -> Index | None:
+    """The first index below folder, by name, whose manifest has all the wanted values; none if there is none."""
+    manifests = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.txt").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    for r in manifests.where(F.col("path").rlike("/manifest/")).orderBy("path").collect():  # one small row an index
+        own = json.loads(r["value"])
+        if all(k in own and own[k] == v for k, v in wanted.items()):
+            return Index(spark, r["path"].split("/manifest/")[0])
+    return None
+
+
+class CachedSearch:
+    """A search whose lists are written once at their greatest depth and cut to the depth asked for."""
+
+    def __init__(self, search: Callable[[DataFrame, int], DataFrame], queries: DataFrame, depth: int):
+        self.depth = depth
+        self.lists = cut_lineage(search(queries, depth))
+
+    def query(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, key, score, rank) of the first k; a greater depth than what is kept is an error."""
+        if k > self.depth:
+            raise ValueError(f"{k} results are asked for, {self.depth} are kept")
+        return self.lists.join(queries.select("qid"), "qid", "left_semi").where(F.col("rank") <= k)

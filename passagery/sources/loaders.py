@@ -115,6 +115,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """Lines of JSON in schema order; null fields are left out."""
-    df.write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, sorted_keys: bool = False, nulls: bool = True) -> None:
+    """Lines of JSON, in schema order or with sorted keys; null fields are written unless nulls is false."""
+    own = df.select(*sorted(df.columns)) if sorted_keys else df
+    own.select(F.to_json(F.struct(*own.columns), {"ignoreNullFields": str(not nulls).lower()}).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_results(df: DataFrame, folder: str, name: str) -> None:
+    """A bounded table of results as JSON lines, CSV with a header, and a Markdown table (one file each)."""
+    flat = df.select(*(F.to_json(F.col(c)).alias(c) if k[:3] in ("arr", "map", "str") and k != "string" else F.col(c) for c, k in df.dtypes)).coalesce(1)
+    write_jsonl(df.coalesce(1), f"{folder}/{name}.jsonl")
+    flat.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in flat.columns)), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(flat.columns) + " |"), (1, "|" + "---|" * len(flat.columns))], "n long, value string")
+    body = flat.select((F.monotonically_increasing_id() + 2).alias("n"), line.alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(f"{folder}/{name}.md")
