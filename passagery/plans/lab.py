@@ -12,7 +12,7 @@ from passagery.functions import signals, text, vectors
 from passagery.operators import analytics, answers, chunking, ensemble, evaluation, feedback, fusion, lexical, protocol, rerank
 from passagery.plans import pipeline
 from passagery.plans.queries import _word, asked, corpus, latest_candidates, r6, register, stream_weight, streams
-from passagery.runtime import cut_lineage, scratch, table
+from passagery.runtime import cut_lineage, is_file, scratch, table
 from passagery.sources import cases as case_labels
 from passagery.sources import catalog, loaders
 from passagery.streaming import ingest
@@ -228,8 +228,10 @@ def cached_search(spark: SparkSession, root: str) -> DataFrame:
 @register
 def streamed_events(spark: SparkSession, root: str) -> DataFrame:
     """Events of each hour and type, counted by a stream that reads all there is."""
-    source = f"{root}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(table(spark, root, "events").schema)
+    one = is_file(spark, f"{root}/events.parquet")  # a stream reads folders
+    read = reader.option("pathGlobFilter", "events.parquet").parquet(root) if one else reader.parquet(f"{root}/events.parquet")
+    events = read.withColumn("ts", F.col("ts").cast("timestamp"))
     out = scratch(spark, "events")
 
     def write(batch: DataFrame, _: int) -> None:
