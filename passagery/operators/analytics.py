@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -85,3 +86,54 @@ def project(df: DataFrame, vector: str, dims: int = 2) -> DataFrame:
 def heatmap(df: DataFrame, row: str, column: str, value: str, columns: list) -> DataFrame:
     """Mean of value by row and column, one output column for each given value."""
     return df.groupBy(row).pivot(column, columns).agg(F.round(F.avg(value), 4))
+
+
+def _affinities(x: np.ndarray, perplexity: float) -> np.ndarray:
+    """Symmetric neighbour probabilities over cosine distances, each row's spread found by bisection."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    d = np.maximum(1.0 - unit @ unit.T, 0.0)
+    np.fill_diagonal(d, np.inf)
+    lo, hi, beta = np.zeros(len(x)), np.full(len(x), np.inf), np.ones(len(x))
+    goal = np.log(perplexity)
+    for _ in range(60):
+        p = np.exp(-(d - d.min(axis=1, keepdims=True)) * beta[:, None])
+        p /= p.sum(axis=1, keepdims=True)
+        entropy = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1)
+        wide = entropy > goal
+        lo, hi = np.where(wide, beta, lo), np.where(wide, hi, beta)
+        beta = np.where(np.isinf(hi), beta * 2, (lo + hi) / 2)
+    return np.maximum((p + p.T) / (2 * len(x)), 1e-12)
+
+
+def tsne(df: DataFrame, key: str, vector: str, perplexity: float | None = None, most: int = 5000, rounds: int = 500, seed: int = 1729) -> DataFrame:
+    """(key, x, y): a t-SNE map by cosine distance of at most `most` rows; more are an error, so sample first.
+
+    The map is one dense problem, solved on the driver. Null vectors are left out; fewer than three rows
+    lie on a line.
+    """
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; draw a sample")
+    rows = sorted(rows, key=lambda r: r[0])
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, x double, y double"
+    if len(rows) < 3:
+        return df.sparkSession.createDataFrame([(r[0], float(i), 0.0) for i, r in enumerate(rows)], schema)
+    p = _affinities(np.array([r[1] for r in rows], float), min(perplexity or auto_perplexity(len(rows)), (len(rows) - 1) / 3 + 1))
+    y = np.random.default_rng(seed).normal(0, 1e-4, (len(rows), 2))
+    step, gain = np.zeros_like(y), np.ones_like(y)
+    rate = max(len(rows) / 48, 50.0)
+    for i in range(rounds):
+        q = _student(y)
+        np.fill_diagonal(q, 0.0)
+        w = ((4.0 if i < 100 else 1.0) * p - q / q.sum()) * q
+        slope = 4 * (w.sum(axis=1, keepdims=True) * y - w @ y)
+        gain = np.maximum(np.where(np.sign(slope) == np.sign(step), gain * 0.8, gain + 0.2), 0.01)
+        step = (0.5 if i < 100 else 0.8) * step - rate * gain * slope
+        y = y + step
+        y -= y.mean(axis=0)
+    return df.sparkSession.createDataFrame([(r[0], float(a), float(b)) for r, (a, b) in zip(rows, y)], schema)
+
+
+def _student(y: np.ndarray) -> np.ndarray:
+    n = (y * y).sum(axis=1)
+    return 1.0 / (1.0 + np.maximum(n[:, None] + n[None] - 2 * y @ y.T, 0.0))

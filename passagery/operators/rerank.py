@@ -170,6 +170,36 @@ class ForestRanker:
         return self.model.transform(self.assembler.transform(rows.na.fill(0.0))).drop("_x")
 
 
+class LambdaRanker:
+    """Gradient-boosted LambdaMART by an installed library; no other ranker stands in for it.
+
+    Without the library BackendUnavailable is raised when the ranker is made.
+    """
+
+    def __init__(self, columns: tuple[str, ...] = FEATURES, seed: int = 1729, **settings: object):
+        try:
+            from xgboost.spark import SparkXGBRanker
+        except ImportError as e:
+            raise BackendUnavailable("LambdaMART needs xgboost") from e
+        self.columns = list(columns)
+        self.ranker = SparkXGBRanker(features_col=self.columns, label_col="gain", qid_col="_group", objective="rank:ndcg", random_state=seed, **settings)
+        self.model = None
+
+    def _numbered(self, rows: DataFrame, group: str) -> DataFrame:
+        return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.columns}).withColumn("_group", F.xxhash64(group))
+
+    def fit(self, rows: DataFrame, group: str = "qid") -> LambdaRanker:
+        if rows.select(group).distinct().limit(2).count() < 2:
+            raise ValueError("at least two groups are needed")
+        self.model = self.ranker.fit(self._numbered(rows, group).sort("_group"))
+        return self
+
+    def predict(self, rows: DataFrame, group: str = "qid") -> DataFrame:
+        if self.model is None:
+            raise RuntimeError("the ranker isn't fitted")
+        return self.model.transform(self._numbered(rows, group)).drop("_group")
+
+
 def reorder(results: DataFrame, predictions: DataFrame) -> DataFrame:
     """results in the order of their predictions; rows without one come last."""
     w = Window.partitionBy("qid").orderBy(F.col("prediction").desc_nulls_last(), "rank")

@@ -88,7 +88,7 @@ def heading_context_chunks(spark: SparkSession, root: str) -> DataFrame:
 
 def _results(spark: SparkSession, root: str, k: int = 10) -> DataFrame:
     """(qid, rank, key, score, text, content, file_name, heading_path) of BM25 over the chunks."""
-    q, c = asked(spark, root), corpus(spark, root)
+    q, c = asked(spark, root), cut_lineage(corpus(spark, root).select("key", "content", "file_name", "heading_path"))  # read three times
     top = lexical.bm25_topk(q, "qid", _word("text"), c, "key", _word("content"), k)
     return top.join(q.select("qid", "text"), "qid").join(c.select("key", "content", "file_name", "heading_path"), "key")
 

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from passagery import __main__ as cli
 from passagery.functions import signals
 from passagery.functions import text as T
 from passagery.operators import analytics, answers, ensemble, evaluation, protocol, rerank
+from passagery.plans import grids
 from passagery.sources import catalog, loaders
 
 
@@ -191,3 +193,24 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["evaluate", str(tmp_path / "ix"), str(tmp_path / "cases.jsonl")])
     out = capsys.readouterr().out
     assert "not read: b.json" in out and "1. a.md::0" in out and "ndcg" in out
+
+
+def test_grids_and_gated_rankers():
+    assert len(grids.default_grid()) == 23 and len(grids.wording_grid()) == 8 and len(grids.field_grid()) == 4 and len(grids.corpus_grid()) == 19
+    try:
+        import xgboost.spark  # noqa: F401
+    except ImportError:
+        with pytest.raises(rerank.BackendUnavailable):
+            rerank.LambdaRanker()
+
+
+def test_tsne_keeps_neighbours(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in np.eye(3)[i % 3] + rng.normal(0, 0.05, 3)]) for i in range(60)]
+    df = spark.createDataFrame([*rows, (99, None)], "id long, v array<double>")
+    y = {r["id"]: np.array([r["x"], r["y"]]) for r in analytics.tsne(df, "id", "v").collect()}
+    near = [min((j for j in y if j != i), key=lambda j: float(((y[i] - y[j]) ** 2).sum())) for i in y]
+    assert len(y) == 60 and sum(i % 3 == j % 3 for i, j in zip(y, near)) >= 57
+    assert analytics.tsne(df.limit(2), "id", "v").count() == 2 and analytics.tsne(df.limit(0), "id", "v").count() == 0
+    with pytest.raises(ValueError):
+        analytics.tsne(df, "id", "v", most=10)
