@@ -4,6 +4,11 @@ A join of query terms with postings makes a row for every pair of a query and a
 word, which for common words is nearly all pairs. Here the query side, bounded by the size of a block,
 is shipped to the tasks instead; the corpus streams past it once, each batch is scored by counting
 over its terms, and a task hands on only its best k per query. Nothing of the corpus is shuffled.
+
+Once a task has k passages for a query, its words are parted by the greatest they can add in the batch:
+those that together stay below the k-th score can't bring in a passage by themselves, so only passages
+with one of the other words are scored (block-max pruning; the bounds are those of the batch, so nothing
+is lost).
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql import functions as F
 #: Query terms in one block; more queries are searched in several passes over the corpus.
 BLOCK_TERMS = 200_000
 _CELLS = 4_000_000
+#: Above this share of the pairs of a query's word and a passage, scoring all of them is quicker than pruning.
+_PRUNE_BELOW = 0.3
 
 
 def query_blocks(terms: DataFrame, most: int = BLOCK_TERMS) -> Iterator[pd.DataFrame]:
@@ -39,6 +46,7 @@ class Block:
         place = {q: i for i, q in enumerate(self.qids)}
         self.fields, self.avgdl = fields, avgdl
         self.vocabulary, self.first, self.query, self.weight = {}, {}, {}, {}
+        self.term, self.own_first, self.own = {}, {}, {}  # the entries of each query
         for f in fields:
             own = terms[terms["field"] == f].sort_values(["term", "qid"])
             names = own["term"].unique().tolist()
@@ -47,6 +55,10 @@ class Block:
             self.first[f] = np.searchsorted(at, np.arange(len(names) + 1))
             self.query[f] = own["qid"].map(place).to_numpy(np.int64)
             self.weight[f] = own["w"].to_numpy(float)
+            self.term[f] = at
+            by_query = np.argsort(self.query[f], kind="stable")
+            self.own_first[f] = np.searchsorted(self.query[f][by_query], np.arange(len(self.qids) + 1))
+            self.own[f] = by_query
         self.batch = max(16, min(512, _CELLS // max(1, len(self.qids))))
 
     def counts(self, field: str, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +88,47 @@ class Block:
         )
 
 
+    def promising(self, field: str, counted: tuple, size: int, k1: float, b: float, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(query, passage, score) of all pairs that can reach the query's floor; None where pruning wouldn't pay."""
+        doc, term, tf, dl = counted
+        n = max(1, len(self.vocabulary[field]))
+        if not len(doc) or not np.isfinite(floor).any():
+            return None
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / max(self.avgdl[field], 1e-12)))
+        most, held = np.zeros(n), np.bincount(term, minlength=n)
+        np.maximum.at(most, term, part)
+        query, entry_term = self.query[field], self.term[field]
+        bound = np.maximum(self.weight[field] * most[entry_term], 0.0)
+        order = np.lexsort((bound, query))
+        upto = np.cumsum(bound[order])
+        start = self.own_first[field][query[order]]
+        within = upto - np.where(start > 0, upto[np.maximum(start - 1, 0)], 0.0)
+        needed = np.zeros(len(query), bool)
+        needed[order] = within >= floor[query[order]] - 1e-8
+        needed &= held[entry_term] > 0
+        many = held[entry_term[needed]]
+        if many.sum() > _PRUNE_BELOW * max(1, held[entry_term].sum()):
+            return None
+        by_term = np.argsort(term, kind="stable")
+        first = np.searchsorted(term[by_term], np.arange(n + 1))
+        at = np.repeat(first[entry_term[needed]] - np.append(0, np.cumsum(many)[:-1])[: len(many)], many) + np.arange(many.sum())
+        cell = np.unique(np.repeat(query[needed], many) * size + doc[by_term[at]])
+        q, d = cell // size, cell % size
+        known = doc * n + term  # ascending, as counts gives it
+        score = np.zeros(len(cell))
+        step = max(1, _CELLS // 16)
+        for lo in range(0, len(cell), step):
+            qs, ds = q[lo : lo + step], d[lo : lo + step]
+            own = self.own_first[field][qs + 1] - self.own_first[field][qs]
+            row = np.repeat(np.arange(len(qs)), own)
+            e = self.own[field][np.repeat(self.own_first[field][qs] - np.append(0, np.cumsum(own)[:-1])[: len(own)], own) + np.arange(own.sum())]
+            key = ds[row] * n + entry_term[e]
+            pos = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = known[pos] == key
+            score[lo : lo + step] = np.bincount(row[hit], self.weight[field][e[hit]] * part[pos[hit]], len(qs))
+        return q, d, score
+
+
 class _Best:
     """The best k passages of every query so far: by score to 9 digits, then key."""
 
@@ -93,7 +146,16 @@ class _Best:
         q, d = np.nonzero((s >= floor[:, None]) & fits)
         if not len(q):
             return
-        new = pd.DataFrame({"q": q, "score": scores[q, d], "r": s[q, d], "key": keys[d]})
+        self._merge(q, scores[q, d], s[q, d], keys[d])
+
+    def add_cells(self, q: np.ndarray, score: np.ndarray, keys: np.ndarray) -> None:
+        r = np.round(score, 9)
+        on = r >= self.least[q]
+        if on.any():
+            self._merge(q[on], score[on], r[on], keys[on])
+
+    def _merge(self, q: np.ndarray, score: np.ndarray, r: np.ndarray, keys: np.ndarray) -> None:
+        new = pd.DataFrame({"q": q, "score": score, "r": r, "key": keys})
         both = pd.concat([self.rows, new], ignore_index=True) if len(self.rows) else new
         both = both.sort_values(["q", "r", "key"], ascending=[True, False, True])
         self.rows = both[both.groupby("q").cumcount() < self.k]
@@ -120,8 +182,13 @@ def best(block: Block, corpus: DataFrame, settings: list[tuple[float, float]], k
                 counted = own.counts(field, pdf["t0"].tolist())
                 keys = pdf["key"].to_numpy(object)
                 for top, (k1, b) in zip(tops, settings):
-                    s, hit = own.scores(field, counted, len(pdf), k1, b)
-                    top.add(s, (s > 0) if positive else hit, keys)
+                    some = own.promising(field, counted, len(pdf), k1, b, top.least) if positive else None
+                    if some is None:
+                        s, hit = own.scores(field, counted, len(pdf), k1, b)
+                        top.add(s, (s > 0) if positive else hit, keys)
+                    else:
+                        q, d, s = some
+                        top.add_cells(q[s > 0], s[s > 0], keys[d[s > 0]])
         qids = np.array(own.qids, object)
         for n, top in enumerate(tops):
             yield pd.DataFrame({"qid": qids[top.rows["q"].to_numpy(np.int64)], "setting": n, "key": top.rows["key"], "score": top.rows["score"]})

@@ -1,12 +1,14 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from passagery.config import CorpusConfig, FieldConfig, RetrievalConfig
 from passagery.functions import text as T
-from passagery.operators import dense, feedback, fusion, lexical, rerank
+from passagery.operators import blocked, dense, feedback, fusion, lexical, rerank
 from passagery.plans import pipeline
 
 W = lambda c: T.word_tokens(F.col(c))
@@ -189,3 +191,34 @@ def test_field_feedback(spark):
     score = lambda **x: {(r["qid"], r["key"]): round(r["score"], 9) for r in pipeline.retrieve_fields(q, c, {"qwen": d}, FieldConfig(feedback_threshold=1.0, **x)).collect()}
     without, with_it = score(), score(feedback=True)
     assert with_it != without and with_it["q1", "b"] > without["q1", "b"] and score(feedback=True, feedback_weight=0.0)["q1", "b"] == without["q1", "b"]
+
+
+def test_pruned_search_equals_brute_force():
+    """Batches after the first are pruned; the best are the same, ties included."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(60)]
+    weight = {w: 0.05 if i < 10 else 1.0 + i / 7 for i, w in enumerate(words)}
+    docs = [rng.choice(words[:10], 20).tolist() + rng.choice(words, rng.integers(0, 6)).tolist() for _ in range(900)]
+    rows = [(f"q{q}", "t", w, weight[w]) for q in range(30) for w in {*rng.choice(words[:10], 4).tolist(), *rng.choice(words[10:], 3).tolist()}]
+    terms = pd.DataFrame(rows, columns=["qid", "field", "term", "w"])
+    avgdl = float(np.mean([len(d) for d in docs]))
+    block = blocked.Block(terms, ["t"], {"t": avgdl})
+    keys = np.array([f"k{i:04d}" for i in range(900)], object)
+    top, pruned = blocked._Best(30, 5), 0
+    for lo in range(0, 900, 100):
+        counted = block.counts("t", docs[lo : lo + 100])
+        some = block.promising("t", counted, 100, 1.2, 0.75, top.least)
+        if some is None:
+            s, _ = block.scores("t", counted, 100, 1.2, 0.75)
+            top.add(s, s > 0, keys[lo : lo + 100])
+        else:
+            pruned += 1
+            q, d, s = some
+            top.add_cells(q[s > 0], s[s > 0], keys[lo + d[s > 0]])
+    every, _ = block.scores("t", block.counts("t", docs), 900, 1.2, 0.75)
+    got = {(r.q, r.key): round(r.score, 7) for r in top.rows.itertuples()}
+    want = {}
+    for q in range(30):
+        order = sorted(range(900), key=lambda d: (-round(every[q, d], 9), keys[d]))[:5]
+        want |= {(q, keys[d]): round(every[q, d], 7) for d in order if every[q, d] > 0}
+    assert pruned >= 5 and got == want
