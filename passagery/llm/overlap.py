@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagery.llm.skew import small_or_salted_join
 from passagery.runtime import cut_lineage
 
 #: Courtesies and labels around a question.
@@ -305,7 +306,6 @@ def merged_lengths(pairs: int, k: np.ndarray, start: np.ndarray, end: np.ndarray
 
 TOKEN_SCHEMA = "case_no long, split string, origin string, looks array<string>, plain array<string>, lost boolean"
 PAIR_SCHEMA = "hard string, train_soft string, eval_soft string, found_share double, longest_run int"
-_SALTS = 8
 
 
 def token_kinds(own: DataFrame) -> DataFrame:
@@ -350,9 +350,8 @@ def classes(cases: DataFrame) -> DataFrame:
             yield pdf[["case_no", "split", "origin"]].assign(looks=looks, plain=plain, lost=[lost_capitals(q) for q in pdf["q"]])
 
     own = cut_lineage(rows.mapInPandas(parts, TOKEN_SCHEMA).withColumn("row", F.monotonically_increasing_id()))
-    kinds = token_kinds(own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    used = own.select("row", F.explode(F.array_union("looks", "plain")).alias("t"), F.pmod("row", F.lit(_SALTS)).cast("int").alias("salt"))
-    told = used.join(kinds, ["t", "salt"]).groupBy("row").agg(  # the tokens of one question
+    used = own.select("row", F.explode(F.array_union("looks", "plain")).alias("t"))
+    told = small_or_salted_join(used, token_kinds(own), ["t"], F.col("row")).groupBy("row").agg(  # the tokens of one question
         *(F.collect_set(F.when(F.col("kind") == k, F.col("t"))).alias(k) for k in ("name", "word", "unknown"))
     )
     none = F.array().cast("array<string>")
