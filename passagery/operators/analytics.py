@@ -19,6 +19,11 @@ def metadata_group(c: Column, kind: str) -> Column:
     return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(f"unknown_{kind}"))
 
 
+def parent_folder(path: Column) -> Column:
+    """The folder a file lies in, with forward slashes; empty for a file without one."""
+    return F.regexp_extract(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "^(.*)/[^/]*$", 1)
+
+
 def collapse_rare(df: DataFrame, group: str, keep: int) -> DataFrame:
     """df with all but the `keep` commonest values of group turned into `other`; ties by name."""
     n = df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(keep).select(group, F.lit(True).alias("_kept"))

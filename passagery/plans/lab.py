@@ -530,11 +530,17 @@ def case_faults(spark: SparkSession, root: str) -> DataFrame:
 
 @register
 def set_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Documents of chunks and of spans: in both, or in one only."""
+    """Documents of chunks and of spans: in both, or in one only; and the questions that training and evaluation cases share."""
     a = table(spark, root, "chunks").select(text.normalise_source(F.col("file_name")).alias("d")).distinct()
     b = table(spark, root, "spans").select(text.normalise_source(F.col("document_id")).alias("d")).distinct()
     count = lambda df, name: df.agg(F.count("*").alias("documents")).select(F.lit(name).alias("part"), "documents")
-    return count(a.intersect(b), "both").unionByName(count(a.exceptAll(b), "chunks only")).unionByName(count(b.exceptAll(a), "spans only"))
+    q = table(spark, root, "benchmark_cases").where("question IS NOT NULL").select("split_name", text.normalise_question(F.col("question")).alias("d"))
+    shared = q.where("split_name = 'train'").select("d").intersect(q.where("split_name IN ('dev', 'test')").select("d"))
+    parts = (count(a.exceptAll(b), "chunks only"), count(b.exceptAll(a), "spans only"), count(shared, "shared questions"))
+    out = count(a.intersect(b), "both")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 @register
@@ -590,6 +596,12 @@ def group_distribution(spark: SparkSession, root: str) -> DataFrame:
     return analytics.distribution(table(spark, root, "documents_in").withColumn("g", analytics.metadata_group(F.col("extension"), "extension")), "g")
 
 
+@register
+def folder_distribution(spark: SparkSession, root: str) -> DataFrame:
+    folder = analytics.metadata_group(analytics.parent_folder(F.col("file_path")), "folder")
+    return analytics.distribution(table(spark, root, "documents_in").withColumn("g", folder), "g")
+
+
 @register
 def seeded_sample(spark: SparkSession, root: str) -> DataFrame:
     return analytics.sample(table(spark, root, "documents"), "doc_id", 100).select("doc_id")

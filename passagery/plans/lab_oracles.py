@@ -226,7 +226,9 @@ ORACLES["case_faults"] = r"""WITH l AS (SELECT case_no, count(*) AS n FROM case_
     UNION ALL SELECT DISTINCT 'unknown span', label_id FROM case_labels WHERE kind = 'span' AND label_id IS NOT NULL AND case_no IN (SELECT case_no FROM c) AND label_id NOT IN (SELECT span_id FROM spans))"""
 ORACLES["set_inventory"] = f"""WITH a AS (SELECT DISTINCT {NORM('file_name')} AS d FROM chunks), b AS (SELECT DISTINCT {NORM('document_id')} AS d FROM spans)
   SELECT 'both' AS part, count(*) AS documents FROM (SELECT d FROM a INTERSECT SELECT d FROM b) UNION ALL SELECT 'chunks only', count(*) FROM (SELECT d FROM a EXCEPT SELECT d FROM b)
-  UNION ALL SELECT 'spans only', count(*) FROM (SELECT d FROM b EXCEPT SELECT d FROM a)"""
+  UNION ALL SELECT 'spans only', count(*) FROM (SELECT d FROM b EXCEPT SELECT d FROM a)
+  UNION ALL SELECT 'shared questions', count(*) FROM (SELECT lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) FROM benchmark_cases WHERE split_name = 'train' AND question IS NOT NULL
+    INTERSECT SELECT lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) FROM benchmark_cases WHERE split_name IN ('dev', 'test') AND question IS NOT NULL)"""
 ORACLES["category_counts"] = f"WITH {_ONE} SELECT split_name, category, count(*) AS cases FROM one GROUP BY ALL"
 ORACLES["corpus_stats"] = "SELECT count(DISTINCT file_name) AS documents, count(*) AS chunks, count(DISTINCT content) AS texts FROM chunks"
 _SWEEP = f"""WITH {streams()}, raw_final AS (SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, key) AS rank FROM latest WHERE final IS NOT NULL),
@@ -242,6 +244,8 @@ ORACLES["window_last_four"] = """SELECT user_id, n, event_id, event_type FROM (S
 ORACLES["rare_group_collapse"] = """WITH d AS (SELECT lower(coalesce(nullif(trim(source), ''), 'unknown_source')) AS source FROM documents), k AS (SELECT source FROM d GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)
   SELECT CASE WHEN source IN (SELECT source FROM k) THEN source ELSE 'other' END AS source, count(*) AS n FROM d GROUP BY 1"""
 ORACLES["group_distribution"] = """SELECT g, n, round(100.0::DOUBLE * n / sum(n) OVER (), 2) AS percent FROM (SELECT coalesce(nullif(trim(extension), ''), 'unknown_extension') AS g, count(*) AS n FROM documents_in GROUP BY 1)"""
+ORACLES["folder_distribution"] = r"""SELECT g, n, round(100.0::DOUBLE * n / sum(n) OVER (), 2) AS percent FROM (
+  SELECT coalesce(nullif(trim(regexp_extract(replace(coalesce(file_path, ''), '\', '/'), '^(.*)/[^/]*$', 1)), ''), 'unknown_folder') AS g, count(*) AS n FROM documents_in GROUP BY 1)"""
 ORACLES["seeded_sample"] = "SELECT doc_id FROM documents ORDER BY md5('1729|' || doc_id), doc_id LIMIT 100"
 ORACLES["instruction_mix"] = f"""WITH {ASKED}, s AS (SELECT weight, lower(coalesce(text, '')) AS low,
     len(list_filter(regexp_extract_all(coalesce(text, ''), {re_(T.TECHNICAL)}), lambda t: regexp_matches(t, '[0-9_./:-]'))) > 0 AS precise FROM asked)

@@ -159,11 +159,14 @@ def _fuse(part: str, k: int = 10) -> str:
 
 for _n, _p in (("weighted_linear", "w * norm"), ("rrf", "1.0::DOUBLE / (60 + rank)"), ("weighted_rrf", "w / (60 + rank)")):
     ORACLES[f"fuse_{_n}"] = f"{_fuse(_p)} SELECT qid, rank, key, {r6('score')} AS score FROM placed WHERE rank <= 10"
-ORACLES["fuse_variants"] = f"""WITH {CORPUS}, {ASKED}, {bm25('asked', word('text'), 'corpus', 'key', word('content'))},
-  lists AS (SELECT string_split(qid, '/')[1] AS qid, string_split(qid, '/')[-1] AS variant, key, score, rank FROM {top('scores', 10)}),
+_VW = "CASE variant WHEN 'original' THEN 1.0::DOUBLE WHEN 'rewrite' THEN 0.7::DOUBLE WHEN 'expansion' THEN 0.5::DOUBLE WHEN 'prf' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END"
+for _n, _p in (("fuse_variants", f"{_VW} / (60 + rank)"), ("fuse_variants_rrf", "1.0::DOUBLE / (60 + rank)"), ("fuse_variants_linear", f"{_VW} * norm")):
+    ORACLES[_n] = f"""WITH {CORPUS}, {ASKED}, {bm25('asked', word('text'), 'corpus', 'key', word('content'))},
+  lists AS (SELECT string_split(qid, '/')[1] AS qid, string_split(qid, '/')[-1] AS variant, key, score, rank,
+    CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS norm
+    FROM {top('scores', 10)} WINDOW w AS (PARTITION BY qid)),
   many AS (SELECT qid, count(DISTINCT variant) AS n FROM lists GROUP BY qid),
-  fused AS (SELECT qid, key, sum(CASE WHEN n = 1 THEN score ELSE CASE variant WHEN 'original' THEN 1.0::DOUBLE WHEN 'rewrite' THEN 0.7::DOUBLE
-    WHEN 'expansion' THEN 0.5::DOUBLE WHEN 'prf' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END / (60 + rank) END) AS score FROM lists JOIN many USING (qid) GROUP BY qid, key)
+  fused AS (SELECT qid, key, sum(CASE WHEN n = 1 THEN score ELSE {_p} END) AS score FROM lists JOIN many USING (qid) GROUP BY qid, key)
   SELECT qid, rank, key, {r6('score')} AS score FROM {top('fused', 5)}"""
 ORACLES["hierarchy_bonus"] = f"""{_fuse('w * norm')}, {CORPUS}, paths AS (SELECT chunk_id, arg_min(coalesce(heading_path, ''), (coalesce(page_number, 0), coalesce(heading_path, ''))) AS h FROM corpus GROUP BY 1),
   sec AS (SELECT fused.*, string_split(key, '::')[1] || chr(1) || coalesce(h, '') AS section FROM fused LEFT JOIN paths ON chunk_id = key),
@@ -172,9 +175,10 @@ ORACLES["hierarchy_bonus"] = f"""{_fuse('w * norm')}, {CORPUS}, paths AS (SELECT
     / greatest(1, count(*) OVER (PARTITION BY qid)) * 0.08::DOUBLE AS bonus FROM best),
   boosted AS (SELECT qid, key, score + bonus AS score FROM sec JOIN bonus USING (qid, section))
   SELECT qid, rank, key, {r6('score')} AS score FROM {top('boosted', 5)}"""
-ORACLES["component_trace"] = f"""WITH {streams('dense', 'sparse', 'late')} SELECT qid, key, max(rank) FILTER (stream = 'dense') AS dense_rank,
-  max(rank) FILTER (stream = 'sparse') AS sparse_rank, max(rank) FILTER (stream = 'late') AS late_rank,
-  {r6("max(score) FILTER (stream = 'sparse')")} AS sparse_score, count(DISTINCT stream) AS stream_count FROM streams GROUP BY qid, key"""
+ORACLES["component_trace"] = f"""WITH {streams('dense', 'sparse', 'late')}, fin AS (SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY round(final, 9) DESC, key) AS final_rank FROM latest WHERE final IS NOT NULL),
+  t AS (SELECT qid, key, {", ".join(f"max(rank) FILTER (stream = '{n}') AS {n}_rank, {r6(f"max(score) FILTER (stream = '{n}')")} AS {n}_score" for n in ("dense", "sparse", "late"))},
+    count(DISTINCT stream) AS stream_count FROM streams GROUP BY qid, key)
+  SELECT t.*, final_rank FROM t LEFT JOIN fin USING (qid, key)"""
 ORACLES["native_rerank"] = f"""WITH {streams('dense', 'sparse', 'late')}, f AS (SELECT qid, key, sum(CASE stream WHEN 'dense' THEN 0.4::DOUBLE ELSE 0.3::DOUBLE END * norm) AS score,
   max(rank) FILTER (stream = 'dense') AS dense_rank FROM normed GROUP BY qid, key)
   SELECT qid, rank, key, {r6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, dense_rank NULLS LAST, key) AS rank FROM f) WHERE rank <= 10"""
@@ -242,3 +246,11 @@ ORACLES["routing_summary"] = f"""WITH conf AS ({ORACLES['confidence']}), q AS (S
     count_if(c < 0.5) AS confidence_trigger_count, coalesce(round(avg(c), 4), 0.0::DOUBLE) AS average_confidence, round(avg(n), 4) AS average_query_variant_count FROM d"""
 ORACLES["latency_summary"] = """SELECT round(avg(value), 3) AS mean_ms, round(list_sort(list(value))[ceil(0.95::DOUBLE * count(value))::BIGINT], 3) AS p95_ms,
   round(100.0::DOUBLE * avg(CASE WHEN event_type = 'purchase' THEN 1.0::DOUBLE ELSE 0 END), 4) AS escalation_rate_percent FROM events"""
+ORACLES["policies"] = f"""WITH d AS ({ORACLES['query_decisions']}) SELECT policy, count_if(policy = 'always' OR policy = 'selective' AND should_route) AS rewritten, count(*) AS queries
+  FROM d, (SELECT unnest(['never', 'selective', 'always']) AS policy) GROUP BY policy"""
+_SEC = "((span_end - span_start) * 7)"
+ORACLES["section_topics"] = f"""SELECT span_id, array_to_string(list_filter(regexp_extract_all(heading, '[A-Za-z][A-Za-z0-9_.-]+'), lambda t: NOT list_contains({lst(T.STOP_FIELDS)}, lower(t)))[1:4], ' ') AS topic,
+  CASE WHEN {_SEC} >= 3600 THEN ({_SEC} // 3600) || 'h ' || ({_SEC} % 3600 // 60) || 'm ' || ({_SEC} % 60) || 's'
+    WHEN {_SEC} >= 60 THEN ({_SEC} // 60) || 'm ' || ({_SEC} % 60) || 's' ELSE {_SEC} || 's' END AS took FROM spans WHERE heading IS NOT NULL"""
+ORACLES["encoder_texts"] = f"""WITH {ASKED} SELECT qid, model, CASE model WHEN 'e5-base' THEN 'query: ' || text WHEN 'Qwen3-Embedding' THEN 'Instruct: find it' || chr(10) || 'Query: ' || text ELSE text END AS given
+  FROM asked, (SELECT unnest(['e5-base', 'Qwen3-Embedding', 'other']) AS model)"""

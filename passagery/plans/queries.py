@@ -225,15 +225,31 @@ def fuse_weighted_rrf(spark: SparkSession, root: str) -> DataFrame:
     return _shown(_fused(spark, root, "weighted_rrf"))
 
 
-@register
-def fuse_variants(spark: SparkSession, root: str) -> DataFrame:
-    """BM25 lists of a query's variants fused by weighted reciprocal ranks."""
+VARIANT_WEIGHTS = {"original": 1.0, "rewrite": 0.7, "expansion": 0.5, "prf": 0.35}
+
+
+def _variants_fused(spark: SparkSession, root: str, strategy: str) -> DataFrame:
     lists = lexical.bm25_topk(asked(spark, root), "qid", _word("text"), corpus(spark, root), "key", _word("content"), 10)
     lists = lists.select(
         F.substring_index("qid", "/", 1).alias("qid"), F.substring_index("qid", "/", -1).alias("variant"), "key", "score", "rank"
     )
-    f = fusion.fuse_variants(lists, "weighted_rrf", {"original": 1.0, "rewrite": 0.7, "expansion": 0.5, "prf": 0.35})
-    return _shown(lexical.top_k(f, 5))
+    return _shown(lexical.top_k(fusion.fuse_variants(lists, strategy, VARIANT_WEIGHTS), 5))
+
+
+@register
+def fuse_variants(spark: SparkSession, root: str) -> DataFrame:
+    """BM25 lists of a query's variants fused by weighted reciprocal ranks."""
+    return _variants_fused(spark, root, "weighted_rrf")
+
+
+@register
+def fuse_variants_rrf(spark: SparkSession, root: str) -> DataFrame:
+    return _variants_fused(spark, root, "rrf")
+
+
+@register
+def fuse_variants_linear(spark: SparkSession, root: str) -> DataFrame:
+    return _variants_fused(spark, root, "weighted_linear")
 
 
 @register
@@ -253,7 +269,9 @@ def hierarchy_bonus(spark: SparkSession, root: str) -> DataFrame:
 def component_trace(spark: SparkSession, root: str) -> DataFrame:
     t = fusion.component_trace(streams(spark, root, "dense", "sparse", "late"), ["dense", "sparse", "late"])
     ranks = [F.col(f"{n}_rank").cast("long").alias(f"{n}_rank") for n in ("dense", "sparse", "late")]
-    return t.select("qid", "key", *ranks, r6("sparse_score").alias("sparse_score"), "stream_count")
+    scores = [r6(f"{n}_score").alias(f"{n}_score") for n in ("dense", "sparse", "late")]
+    final = streams(spark, root, "final").select("qid", "key", F.col("rank").cast("long").alias("final_rank"))
+    return t.join(final, ["qid", "key"], "left").select("qid", "key", *ranks, *scores, "final_rank", "stream_count")
 
 
 @register
@@ -361,6 +379,31 @@ def instruction_modes(spark: SparkSession, root: str) -> DataFrame:
     return c.groupBy("field_mode", "corpus_mode").agg(F.count("*").alias("questions"))
 
 
+@register
+def policies(spark: SparkSession, root: str) -> DataFrame:
+    """Which queries each policy would rewrite."""
+    q = asked(spark, root).withColumn("s", signals.gate(F.col("text")))
+    q = q.withColumn("d", signals.decision(F.col("text"), F.col("s")))
+    each = F.explode(F.array(*map(F.lit, ("never", "selective", "always"))))
+    q = q.select("qid", F.col("d.should_rewrite").alias("may"), each.alias("policy")).withColumn("does", signals.policy(F.col("policy"), F.col("may")))
+    return q.groupBy("policy").agg(F.count_if("does").alias("rewritten"), F.count("*").alias("queries"))
+
+
+@register
+def section_topics(spark: SparkSession, root: str) -> DataFrame:
+    """Topic of each heading, with the time that reading its section of so many characters would take."""
+    s = table(spark, root, "spans").where("heading IS NOT NULL")
+    size = F.col("span_end") - F.col("span_start")
+    return s.select("span_id", text.topic(F.lit(None).cast("string"), F.col("heading")).alias("topic"), text.duration(size * 7).alias("took"))
+
+
+@register
+def encoder_texts(spark: SparkSession, root: str) -> DataFrame:
+    """What encoders of three kinds are given for each query."""
+    q = asked(spark, root).select("qid", "text", F.explode(F.array(*map(F.lit, ("e5-base", "Qwen3-Embedding", "other")))).alias("model"))
+    return q.select("qid", "model", text.passage_prefix(F.col("text"), F.col("model"), True, "find it").alias("given"))
+
+
 # -- vectors ------------------------------------------------------------------------------------
 
 
