@@ -73,17 +73,26 @@ class Index:
 
     def build(self, chunks: DataFrame, key: str = "key", content: str = "content", **manifest: object) -> Index:
         """Write all parts. Postings are clustered by term, so that a query's terms prune row groups."""
-        tokens = word_tokens(F.col(content))
         chunks.write.mode("overwrite").parquet(f"{self.path}/chunks")
+        self._derive(key, content)
+        line = json.dumps(manifest, sort_keys=True)
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
+        return self
+
+    def _derive(self, key: str, content: str) -> None:
+        tokens = word_tokens(F.col(content))
         stored = self.part("chunks")
         posts = postings(stored, key, tokens)
         posts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/postings")
         stats = corpus_stats(stored, tokens)
         stats.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/corpus_stats")
         term_idf(self.part("postings"), self.part("corpus_stats")).write.mode("overwrite").parquet(f"{self.path}/terms")
-        line = json.dumps(manifest, sort_keys=True)
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
-        return self
+
+    def add_chunks(self, chunks: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
+        """Append the chunks whose keys the index lacks, and make postings and statistics anew, since every idf changes."""
+        append_new(chunks, f"{self.path}/chunks", [key])
+        self._derive(key, content)
+        return self.part("chunks")
 
     def check(self, model: str, dims: int | None = None) -> None:
         """Raise unless the index was made by this model with this dimension; an unmarked index passes."""

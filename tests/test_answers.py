@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagery import __main__ as cli
+from passagery.config import CorpusConfig, FieldConfig, flat, from_flat
 from passagery.functions import signals
 from passagery.functions import text as T
 from passagery.operators import analytics, answers, ensemble, evaluation, protocol, rerank
@@ -161,6 +162,9 @@ def test_catalog_and_sinks(spark, tmp_path):
     catalog.open_or_build(spark, str(tmp_path / "cat"), docs, model="m", size=3)
     found = catalog.find_index(spark, str(tmp_path / "cat"), size=3)
     assert found.part("chunks").count() == 3 and catalog.find_index(spark, str(tmp_path / "cat"), size=4) is None
+    more = spark.createDataFrame([("k3", "again"), ("k4", "beta delta")], "key string, content string")
+    assert found.add_chunks(more).count() == 4
+    assert {r["term"]: r["df"] for r in found.part("terms").collect()}["beta"] == 3 and found.part("corpus_stats").first()["n_docs"] == 4
     v = lambda *r: spark.createDataFrame(list(r), "chunk_key string, model string, representation string, embedding array<double>")
     found.put_vectors(v(("k1", "m", "raw", [1.0, 0.0]), ("k2", "m", "raw", [0.0, 1.0])))
     assert {r["chunk_key"]: r["embedding"] for r in found.put_vectors(v(("k1", "m", "raw", [0.5, 0.5]))).collect()} == {"k1": [0.5, 0.5], "k2": [0.0, 1.0]}
@@ -204,6 +208,14 @@ def test_grids_and_gated_rankers():
             rerank.LambdaRanker()
 
 
+def test_settings_by_name():
+    assert from_flat(CorpusConfig, flat(CorpusConfig(k1=1.5))) == CorpusConfig(k1=1.5) and from_flat(FieldConfig, {"top_k": 7}).top_k == 7
+    with pytest.raises(ValueError):
+        from_flat(CorpusConfig, {"k2": 1})
+    with pytest.raises(ValueError):
+        from_flat(CorpusConfig, {"top_k": 0})
+
+
 def test_tsne_keeps_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in np.eye(3)[i % 3] + rng.normal(0, 0.05, 3)]) for i in range(60)]
