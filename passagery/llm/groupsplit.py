@@ -53,9 +53,8 @@ def links(cases: DataFrame, labels: DataFrame, spans: DataFrame) -> DataFrame:
     )
     own = labels.where("case_no IS NOT NULL").select(r, "label_id", tidy_path(F.col("document_id")).alias("own"))
     direct = own.where("own IS NOT NULL").select("r", F.lit("d").alias("kind"), F.col("own").alias("entity"))
-    lookup = own.where("own IS NULL AND label_id IS NOT NULL").join(known, "label_id").select(
-        "r", F.lit("d").alias("kind"), F.col("span_document").alias("entity")
-    )
+    named_only = own.where("own IS NULL AND label_id IS NOT NULL")
+    lookup = small_or_salted_join(named_only, known, ["label_id"], F.col("r")).select("r", F.lit("d").alias("kind"), F.col("span_document").alias("entity"))
     return authors.unionByName(entities).unionByName(direct).unionByName(lookup).where("entity IS NOT NULL").distinct()
 
 
