@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import html.entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -262,6 +263,7 @@ class _Builder:
     def __init__(self, dom: Dom, present: tuple[tuple[str, re.Pattern], ...], entities: bool):
         self.dom, self.present, self.entities = dom, present, entities
         self.open: list[tuple[int, str, int]] = [(0, "root", 0)]  # (node, tag or "section", level)
+        self.tags: Counter[str] = Counter()  # how many blocks of each tag are open
         self.group: int | None = None
 
     def kinds(self, raw: str) -> frozenset[str]:
@@ -301,13 +303,16 @@ class _Builder:
 
     def block(self, style: str) -> None:
         self.group = None
-        self.open.append((self.add("block", style, "", frozenset(("html",))), style.partition(".")[0], 0))
+        tag = style.partition(".")[0]
+        self.open.append((self.add("block", style, "", frozenset(("html",))), tag, 0))
+        self.tags[tag] += 1
 
     def close(self, tag: str) -> None:
         self.group = None
-        if any(t == tag for _, t, _ in self.open):
-            while self.open.pop()[1] != tag:
-                pass
+        if self.tags[tag]:
+            while (gone := self.open.pop()[1]) != tag:
+                self.tags[gone] -= 1
+            self.tags[tag] -= 1
         else:
             self.note(frozenset(("html",)))
 

@@ -1,6 +1,6 @@
 import pytest
 
-from passagery.llm.markup import clean_records, clean_text, markup_kinds, parse, records
+from passagery.llm.markup import clean_records, clean_text, markup_kinds, parse, records, tree_rows
 
 
 @pytest.mark.parametrize(
@@ -40,6 +40,8 @@ def test_structure_stays():
 def test_very_long_lines_end():
     assert parse("$" + '{"a": "b"} ' * 100_000).kinds == set()
     assert parse("[" * 50_000 + "'" * 3001 + "*" * 5000).kinds <= {"wiki"}
+    deep = "<div>" * 20_000 + "x" + "</table>" * 20_000 + "</div>" * 20_000 + "y"
+    assert clean_text(deep) == "x\n\ny" and len(tree_rows(parse(deep))) == 20_003
 
 
 def test_style_tree_drops_what_all_pages_share(spark):
