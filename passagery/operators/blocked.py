@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 #: Query terms in one block; more queries are searched in several passes over the corpus.
 BLOCK_TERMS = 200_000
 _CELLS = 4_000_000
-#: Above this share of the pairs of a query's word and a passage, scoring all of them is quicker than pruning.
-_PRUNE_BELOW = 0.3
+#: Looking up one word of a query in one passage costs as much as adding so many cells of a whole matrix.
+_LOOKUP = 8
 
 
 def query_blocks(terms: DataFrame, most: int = BLOCK_TERMS) -> Iterator[pd.DataFrame]:
@@ -107,8 +107,9 @@ class Block:
         needed[order] = within >= floor[query[order]] - 1e-8
         needed &= held[entry_term] > 0
         many = held[entry_term[needed]]
-        if many.sum() > _PRUNE_BELOW * max(1, held[entry_term].sum()):
-            return None
+        words = len(query) / max(1, len(self.qids))
+        if many.sum() * words * _LOOKUP > held[entry_term].sum() + 2 * len(self.qids) * size:
+            return None  # scoring all pairs is quicker
         by_term = np.argsort(term, kind="stable")
         first = np.searchsorted(term[by_term], np.arange(n + 1))
         at = np.repeat(first[entry_term[needed]] - np.append(0, np.cumsum(many)[:-1])[: len(many)], many) + np.arange(many.sum())
