@@ -2,10 +2,11 @@
 
 Records and the entities they name form a bipartite graph. Labels start as record numbers; in each
 round every entity takes the least label of its records, every record the least label of its
-entities, and then the label of the record its label names (so long chains shorten by halves). When
-nothing changes, the label is the group. Rounds are cut from each other by checkpoints in the shared
-folder. Minima are combined before each shuffle, so a hot entity sends one row per task; what belongs to
-a hot entity or group comes back by broadcast or salted joins, so its records are never in one task.
+entities. All records of one label then take the least label that any of them met, and the label that
+one takes in its turn (so long chains shorten by halves). When nothing changes, the label is the group.
+Rounds are cut from each other by files in the shared folder, which the next round deletes. Minima are
+combined before each shuffle, so a hot entity sends one row per task; what belongs to a hot entity or
+group comes back by broadcast or salted joins, so its records are never in one task.
 
 Groups are then assigned so that each split comes close to its share of every stratum. Large groups
 are placed one by one; the many small ones are bundled by hash into a fixed number of cells, so what
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagery.llm.skew import HOT_ROWS, hot_above, small_or_salted_join, split_join
-from passagery.runtime import cut_lineage
+from passagery.runtime import cut_lineage, drop_files, on_files
 
 #: What stands for "no value" in any case.
 PLACEHOLDERS = ("", "-", "n/a", "unknown")
@@ -54,7 +55,10 @@ def links(cases: DataFrame, labels: DataFrame, spans: DataFrame) -> DataFrame:
     own = labels.where("case_no IS NOT NULL").select(r, "label_id", tidy_path(F.col("document_id")).alias("own"))
     direct = own.where("own IS NOT NULL").select("r", F.lit("d").alias("kind"), F.col("own").alias("entity"))
     named_only = own.where("own IS NULL AND label_id IS NOT NULL")
-    lookup = small_or_salted_join(named_only, known, ["label_id"], F.col("r")).select("r", F.lit("d").alias("kind"), F.col("span_document").alias("entity"))
+    asked = named_only.groupBy("label_id").agg(F.count("*").alias("held"))
+    lookup = split_join(named_only, asked.join(known, "label_id"), ["label_id"], "held", hot_above(labels.count())).select(
+        "r", F.lit("d").alias("kind"), F.col("span_document").alias("entity")
+    )
     return authors.unionByName(entities).unionByName(direct).unionByName(lookup).where("entity IS NOT NULL").distinct()
 
 
@@ -65,14 +69,16 @@ def components(link: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     the least record that names it: two entities with the same least record share that record and
     so belong to one group anyway, which makes the edges fewer. Labels only fall, so the rounds end.
     """
-    link = cut_lineage(link)
+    spark = link.sparkSession
+    link, link_files = on_files(link, "link")
     above = hot_above(link.count(), hot_rows)
     least = link.groupBy("kind", "entity").agg(F.min("r").alias("e"), F.max("r").alias("last"), F.count("*").alias("held")).where("e < last").drop("last")
     edges = split_join(link, least, ["kind", "entity"], "held", above)
     # one row a record, with its entities
-    state = cut_lineage(edges.groupBy("r").agg(F.collect_set("e").alias("es")).select("r", F.least("r", F.array_min("es")).alias("g"), "es"))
+    state, files = on_files(edges.groupBy("r").agg(F.collect_set("e").alias("es")).select("r", F.least("r", F.array_min("es")).alias("g"), "es"), "labels")
+    drop_files(spark, link_files)
     hot = [r["e"] for r in state.select(F.explode("es").alias("e")).groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") > above).collect()]  # few
-    hot = state.sparkSession.createDataFrame([(e,) for e in hot], "e long") if hot else None
+    hot = spark.createDataFrame([(e,) for e in hot], "e long") if hot else None
     labels = state
     while True:
         long = labels.select("r", "g", F.explode("es").alias("e"))
@@ -81,12 +87,18 @@ def components(link: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             met = long.join(by_entity, "e")
         else:
             met = long.join(F.broadcast(by_entity.join(F.broadcast(hot), "e")), "e").unionByName(long.join(F.broadcast(hot), "e", "left_anti").join(by_entity, "e"))
-        state = cut_lineage(met.groupBy("r").agg(F.min("g").alias("old"), F.min("m").alias("g"), F.collect_list("e").alias("es")))
-        if state.where("old <> g").isEmpty():
-            return state.select("r", "g")
-        # labels whose own record has a lower label by now
-        heads = state.select(F.col("g").alias("n")).distinct().join(state.select(F.col("r").alias("n"), F.col("g").alias("h")), "n").where("h < n")
-        named = state.withColumnRenamed("g", "n")
+        before = files
+        state, files = on_files(met.groupBy("r").agg(F.min("g").alias("old"), F.min("m").alias("g"), F.collect_list("e").alias("es")), "labels")
+        drop_files(spark, before)
+        # labels of which a record met a lower one
+        moved = cut_lineage(state.where("g < old").groupBy(F.col("old").alias("n")).agg(F.min("g").alias("h")))
+        if moved.isEmpty():
+            placed = cut_lineage(state.select("r", "g"))
+            drop_files(spark, files)
+            return placed
+        further = moved.select(F.col("n").alias("h"), F.col("h").alias("h2"))
+        heads = moved.join(further, "h", "left").select("n", F.coalesce("h2", "h").alias("h"))
+        named = state.select("r", F.col("old").alias("n"), "es")
         labels = small_or_salted_join(named, heads, ["n"], F.col("r"), "left").select("r", F.coalesce("h", "n").alias("g"), "es")
 
 
@@ -105,8 +117,8 @@ def divided_cases(cases: DataFrame, labels: DataFrame, spans: DataFrame) -> Data
         F.col("case_no").cast("long").alias("r"), F.lower(F.trim("split_name")).alias("s")
     ).distinct()
     placed = cut_lineage(grouped(rows, links(cases, labels, spans)))
-    split = placed.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("g")
-    return small_or_salted_join(placed, split, ["g"], F.col("r"), "left_semi").select(F.col("r").alias("case_no")).distinct()
+    split = placed.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("g", "held")
+    return split_join(placed, split, ["g"], "held", hot_above(placed.count())).select(F.col("r").alias("case_no")).distinct()
 
 
 def assign_units(counts: np.ndarray, shares: Sequence[float]) -> np.ndarray:

@@ -1,9 +1,11 @@
+import os
 import random
 from collections import defaultdict
 
 import numpy as np
 
 from passagery.llm.groupsplit import assign_units, components, divided_cases, links, new_splits, split_report
+from passagery.runtime import ensure_checkpoint_dir
 
 CASES = "case_no long, split_name string, category string, author string, entities array<string>, r long, g string"
 LABELS = "case_no long, kind string, label_id string, document_id string, r string"
@@ -95,6 +97,19 @@ def test_long_chain_and_empty(spark):
     assert [(r["cases"], r["share"]) for r in split_report(new_splits(*empty), empty[0]).collect()] == [(0, 0.0)] * 3
 
 
+def test_rounds_leave_nothing_behind(spark):
+    """A chain in no order takes many rounds; neither the estimated size of the plan nor the files grow with them."""
+    at = list(range(20))
+    random.Random(0).shuffle(at)
+    link = spark.createDataFrame([(r, "e", f"k{i + d}") for i, r in enumerate(at) for d in (0, 1)], "r long, kind string, entity string")
+    out = components(link)
+    assert sorted(map(tuple, out.collect())) == [(r, 0) for r in range(20)]
+    size = out._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    assert "E" not in size.partition("=")[2], size  # neither EiB nor a power of ten
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert os.path.isdir(folder) and not [x for x in os.listdir(folder) if x.startswith(("link-", "labels-"))]
+
+
 def test_one_author_of_a_third_of_all_cases(spark):
     """The hot author's cases come out whole, with what hangs on them by a chain of entities."""
     rows = [(i, "train" if i % 7 else "test", "a", "Hot" if i % 3 == 0 else None, [f"k{i // 2}"], 7, "x") for i in range(600)]
