@@ -3,12 +3,13 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from passagery.config import CorpusConfig, FieldConfig, RetrievalConfig
 from passagery.functions import text as T
-from passagery.operators import blocked, dense, feedback, fusion, lexical, rerank
+from passagery.operators import blocked, dense, feedback, fusion, indexed, lexical, rerank
 from passagery.plans import pipeline
 
 W = lambda c: T.word_tokens(F.col(c))
@@ -222,3 +223,59 @@ def test_pruned_search_equals_brute_force():
         order = sorted(range(900), key=lambda d: (-round(every[q, d], 9), keys[d]))[:5]
         want |= {(q, keys[d]): round(every[q, d], 7) for d in order if every[q, d] > 0}
     assert pruned >= 5 and got == want
+
+
+def passages_and_bags(fields, passages=700, bags=60, seed=5):
+    """Random passages with many ties, bags of common and rare words, and all scores by plain counting."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(40)]
+    draw = lambda: rng.choice(words[:6], rng.integers(0, 4)).tolist() + rng.choice(words, rng.integers(0, 3)).tolist()
+    docs = [[draw() for _ in fields] for _ in range(passages)]
+    keys = [f"k{i:04d}" for i in rng.permutation(passages)]
+    rows = [(f"b{q:03d}", f, w, float(1 + words.index(w) // 6)) for q in range(bags) for f in fields for w in sorted({*rng.choice(words[:8], 2).tolist(), *rng.choice(words, 2).tolist()})]
+    terms = pd.DataFrame(rows, columns=["bag", "field", "term", "w"])
+    avgdl = {f: float(np.mean([len(d[i]) for d in docs])) for i, f in enumerate(fields)}
+    score = {}
+    for bag, f, w, weight in rows:
+        i = fields.index(f)
+        for key, d in zip(keys, docs):
+            if tf := d[i].count(w):
+                score[bag, key] = score.get((bag, key), 0.0) + weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d[i]) / avgdl[f]))
+    return docs, keys, terms, avgdl, score
+
+
+def best_of(score, k):
+    own = {}
+    for (bag, key), s in score.items():
+        own.setdefault(bag, []).append((-round(s, 9), key))
+    return {bag: [(key, -s) for s, key in sorted(rows)[:k]] for bag, rows in own.items()}
+
+
+@pytest.mark.parametrize("fields", [["t"], ["title", "body"]])
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_indexed_search_equals_brute_force(fields, k, monkeypatch):
+    docs, keys, terms, avgdl, score = passages_and_bags(fields)
+    monkeypatch.setattr(indexed, "SEGMENTS", (50, 200))
+    asked, batches = indexed.Asked(terms, fields, avgdl), []
+    for lo in range(0, len(docs), 90):
+        own = [pa.array(keys[lo : lo + 90])] + [pa.array([d[i] for d in docs[lo : lo + 90]], pa.list_(pa.string())) for i in range(len(fields))]
+        batches.append(pa.RecordBatch.from_arrays(own, names=["key", *(f"t{i}" for i in range(len(fields)))]))
+    top, sizes = indexed.Top(len(asked.names), k), []
+    for segment in indexed._segments(asked, iter(batches), 1.2, 0.75):
+        sizes.append(segment.size)
+        indexed.search(asked, segment, top)
+    assert sizes == [50, 200, 200, 200, 50]
+    got = {}
+    for q, r, key in sorted(zip(top.q.tolist(), (-top.r).tolist(), top.key.tolist())):
+        got.setdefault(asked.names[q], []).append((key, -r))
+    want = best_of(score, k)
+    assert {b: [key for key, _ in x] for b, x in got.items()} == {b: [key for key, _ in x] for b, x in want.items()}
+    assert all(abs(a - b) < 2e-9 for bag in want for (_, a), (_, b) in zip(got[bag], want[bag]))
+
+
+def test_equal_bags_are_searched_once(spark):
+    terms = spark.createDataFrame([(q, "t", w, 0.1 + len(w)) for q in range(100) for w in ("cursor", "page", *(["vault"] if q % 2 else []))], "qid long, field string, term string, w double")
+    asked = indexed.bags(terms)
+    rows = pd.concat(list(indexed.blocks(asked, 3)))
+    assert asked.count() == 100 and sorted(rows.groupby("bag")["w"].sum().round(9)) == [10.2, 15.3] and rows["bag"].nunique() == 2
+    assert not len(next(indexed.blocks(asked.limit(0))))
