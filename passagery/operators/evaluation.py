@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passagery.functions import draws
 from passagery.functions.text import normalise_source
 
 METRICS = ("recall", "precision", "mrr", "ndcg")
@@ -251,18 +256,29 @@ def bootstrap_delta(pairs: DataFrame, samples: int = 5000, seed: int = 1729) ->
     """(observed, low, high, crosses_zero) of the mean of b - a by resampling; pairs: (n, a, b) with n from 0 without gaps.
 
     Each sample draws as many cases as there are, with an MD5 hash of (seed, sample, draw) in place of a
-    generator, so the result doesn't depend on partitions. One sample is one group: it is summed
-    before the shuffle.
+    generator, so the result doesn't depend on partitions. A task hashes its samples' draws in arrays and hands
+    on a mean a sample; the differences of all cases, a number each, are shipped to the tasks.
     """
     spark = pairs.sparkSession
-    total = pairs.count()
+    own = pairs.select("n", (F.col("b") - F.col("a")).alias("x")).toPandas().sort_values("n")  # one number a case
+    x = own["x"].to_numpy(float)
     observed = pairs.agg(F.avg(F.col("b") - F.col("a")).alias("observed"))
-    if total == 0:
+    if not len(x):
         return observed.select("observed", *(F.lit(None).cast("double").alias(c) for c in ("low", "high")), F.lit(None).cast("boolean").alias("crosses_zero"))
-    draws = spark.range(samples).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("d"))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), "s", "d"))
-    draws = draws.withColumn("n", F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.lit(total))
-    means = draws.join(pairs.select("n", (F.col("b") - F.col("a")).alias("x")), "n").groupBy("s").agg(F.avg("x").alias("m"))
+    values, code = np.unique(x, return_inverse=True)
+    shared = spark.sparkContext.broadcast((values, code.astype(np.int32)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values, code = shared.value
+        for pdf in batches:
+            for s in pdf["s"].tolist():
+                counts = np.zeros(len(values), np.int64)
+                for n in draws.drawn(f"{seed}|{s}|", len(code)):
+                    counts += np.bincount(code[n], minlength=len(values))
+                yield pd.DataFrame({"m": [float((values * counts).sum() / len(code))]})
+
+    tasks = max(spark.sparkContext.defaultParallelism, min(samples, len(x) * samples // 20_000_000))  # about as many draws a task
+    means = spark.range(samples, numPartitions=tasks).select(F.col("id").alias("s")).mapInPandas(run, "m double")
     q = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return observed.crossJoin(q).select(
         "observed", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), ((F.col("q")[0] <= 0) & (F.col("q")[1] >= 0)).alias("crosses_zero")

@@ -1,9 +1,12 @@
+import hashlib
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passagery.functions import draws
 from passagery.operators import analytics, chunking, evaluation, protocol
 from passagery.plans import lab
 from passagery.sources import cases, catalog, loaders, pages
@@ -207,3 +210,21 @@ def test_pairwise_ltr_ranks_every_candidate(spark, tmp_path):
     c.withColumns({"scored_at": F.current_timestamp(), "loaded_at": F.current_timestamp()}).write.parquet(str(tmp_path / "native_candidates.parquet"))
     got = lab.pairwise_ltr(spark, str(tmp_path)).collect()
     assert {q: {r["key"] for r in got if r["qid"] == q} >= {"k40", "nodense", "nan", "nofinal"} for q in ("q1", "q2")} == {"q1": True, "q2": True}
+
+
+@pytest.mark.parametrize("total", [1, 9, 10, 11, 12_345])
+def test_draws_are_those_of_md5(total):
+    got = np.concatenate(list(draws.drawn("1729|42|", total)))
+    assert got.tolist() == [int(hashlib.md5(f"1729|42|{d}".encode()).hexdigest()[:12], 16) % total for d in range(total)]
+
+
+def test_bootstrap_sums_each_sample_by_itself(spark):
+    """The draws of a sample are neither rows nor joined, however many cases there are."""
+    pairs = spark.range(3_000).select(F.col("id").alias("n"), (F.col("id") % 3 / 4).alias("a"), (F.col("id") % 5 / 4).alias("b"))
+    got = evaluation.bootstrap_delta(pairs, 40)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    x = [n % 5 / 4 - n % 3 / 4 for n in range(3_000)]
+    means = sorted(sum(x[int(hashlib.md5(f"1729|{s}|{d}".encode()).hexdigest()[:12], 16) % 3_000] for d in range(3_000)) / 3_000 for s in range(40))
+    r = got.collect()[0]
+    at = lambda p: means[int(p * 39)] + (p * 39 - int(p * 39)) * (means[int(p * 39) + 1] - means[int(p * 39)])
+    assert abs(r["observed"] - sum(x) / 3_000) < 1e-9 and abs(r["low"] - at(0.025)) < 1e-9 and abs(r["high"] - at(0.975)) < 1e-9 and r["crosses_zero"] == (r["low"] <= 0 <= r["high"])
